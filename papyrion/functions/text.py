@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Characters that count as white space (fixed value: ECMAScript WhiteSpace and LineTerminator).
-WS = r"[\t-\r    -     　﻿]"
+WS = r"[\t-\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 _WS_RUN = WS + "+"
 
 
@@ -32,7 +32,7 @@ def first_non_blank(*cs: Column) -> Column:
 def normalize_markdown(c: Column) -> Column:
     """Line ends to LF, NBSP to space, no blanks at line ends, at most one blank line, trimmed."""
     c = F.regexp_replace(c, r"\r\n?", "\n")
-    c = F.replace(c, F.lit(" "), F.lit(" "))
+    c = F.replace(c, F.lit("\u00a0"), F.lit(" "))
     c = F.regexp_replace(c, r"[ \t]+(?=\n|\z)", "")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
     return js_trim(c)
