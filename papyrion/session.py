@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +18,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the executors' Python, once a session."""
+    context = spark.sparkContext
+    if getattr(context, "_papyrion_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = tempfile.mkdtemp(prefix="papyrion-")
+    context.addPyFile(shutil.make_archive(f"{target}/papyrion", "zip", root.parent, root.name))
+    context._papyrion_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; only where that is unset (tests, laptops) one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
