@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from papyrion.llm import lookalikes
+from papyrion.llm import copies, lookalikes, pieces, sitelines
 
-QUERIES = {"p1_found": lookalikes.p1_found}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "p1_found": lookalikes.p1_found,
+    "p2_found": copies.p2_found,
+    "p2_groups": copies.p2_groups,
+    "p5_found": pieces.p5_found,
+    "p5_pieces": pieces.p5_pieces,
+    "p7_found": sitelines.p7_found,
+    "p7_clean": sitelines.p7_clean,
+}
+SQL = {"p5_found": pieces.P5_SQL, "p7_found": sitelines.P7_SQL}
