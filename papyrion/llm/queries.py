@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papyrion.llm import copies, lookalikes, pieces, sitelines
+from papyrion.llm import bpe, copies, lookalikes, packing, pieces, sitelines
 
 QUERIES = {
     "p1_found": lookalikes.p1_found,
@@ -12,5 +12,7 @@ QUERIES = {
     "p5_pieces": pieces.p5_pieces,
     "p7_found": sitelines.p7_found,
     "p7_clean": sitelines.p7_clean,
+    "p8_ids": bpe.p8_ids,
+    "p9_containers": packing.p9_containers,
 }
 SQL = {"p5_found": pieces.P5_SQL, "p7_found": sitelines.P7_SQL}
