@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papyrion.llm import bpe, copies, lookalikes, packing, pieces, sitelines
+from papyrion.llm import abuse, bpe, copies, lookalikes, packing, pieces, sitelines
 
 QUERIES = {
     "p1_found": lookalikes.p1_found,
@@ -14,5 +14,8 @@ QUERIES = {
     "p7_clean": sitelines.p7_clean,
     "p8_ids": bpe.p8_ids,
     "p9_containers": packing.p9_containers,
+    "p10_found": abuse.p10_found,
+    "p10_scores": abuse.p10_scores,
+    "p10_rates": abuse.p10_rates,
 }
 SQL = {"p5_found": pieces.P5_SQL, "p7_found": sitelines.P7_SQL}
