@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from papyrion.llm import abuse, bpe, copies, lookalikes, packing, pieces, sitelines
+from papyrion.llm import abuse, body, bpe, copies, lookalikes, packing, pieces, residue, sitelines
 
 QUERIES = {
     "p1_found": lookalikes.p1_found,
     "p2_found": copies.p2_found,
     "p2_groups": copies.p2_groups,
+    "p3_found": body.p3_found,
+    "p3_bodies": body.p3_bodies,
     "p5_found": pieces.p5_found,
     "p5_pieces": pieces.p5_pieces,
+    "p6_found": residue.p6_found,
+    "p6_cases": residue.p6_cases,
     "p7_found": sitelines.p7_found,
     "p7_clean": sitelines.p7_clean,
     "p8_ids": bpe.p8_ids,
