@@ -1,4 +1,4 @@
-"""The core's named queries: each takes (spark, directory) and returns a DataFrame; SQL has the DuckDB form where there is one."""
+"""The core's named queries: each takes (spark, directory) and returns a DataFrame; oracle.py has their SQL."""
 
 from __future__ import annotations
 
@@ -102,7 +102,7 @@ def doc_auto_description(spark: SparkSession, d: str) -> DataFrame:
 
 
 def doc_visible_length(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "documents").select("doc_id", text.visible_length(F.col("text")).cast("long").alias("visible_length"))
+    return read_table(spark, d, "documents").select("doc_id", text.visible_length(F.coalesce("text", F.lit(""))).cast("long").alias("visible_length"))
 
 
 def doc_normalized(spark: SparkSession, d: str) -> DataFrame:
@@ -196,7 +196,7 @@ def clip_types(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clip_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return cliplog.find_clips(_captures(spark, d, "url"), _clips(spark, d)).select("capture_id", "clip_id")
+    return cliplog.find_clips(_captures(spark, d, "url"), _clips(spark, d)).where("clip_id is not null").select("capture_id", "clip_id")
 
 
 def clip_upsert(spark: SparkSession, d: str) -> DataFrame:
@@ -377,4 +377,3 @@ _ALL = (
     knowledge_index, prompt_inventory, metadata_days, page_capture,
 )
 QUERIES = {"p4_found": snapshots.p4_found, **{f.__name__: f for f in _ALL}}
-SQL = {"p4_found": snapshots.P4_SQL}
