@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from papyrion.functions.text import WS, js_trim
 
-_ABSOLUTE = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^:/?#]*)(?::(\d*))?([^#]*)(#.*)?$"
+_ABSOLUTE = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^:/?#]*)(?::(\d*))?((?:[/?][^#]*)?)(#.*)?$"
 
 
 def _part(url: Column, group: int) -> Column:

@@ -39,6 +39,7 @@ def capture_pages(pages: DataFrame, mode: str = "auto", captured_at: str = "", s
                 if row is None:
                     row = dict.fromkeys(CAPTURE.names) | {"url": url, "error": error}
                 else:
+                    row["url"] = url
                     row["metadata"] = {n: row["metadata"].get(n) for n in METADATA.names}
                 out.append(row)
             yield pd.DataFrame(out, columns=CAPTURE.names)

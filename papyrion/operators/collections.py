@@ -43,12 +43,12 @@ def match_collections(pages: DataFrame, collections: DataFrame, key: str) -> Dat
     from with ``/`` or ``?``; ties by id. Both tests are equi joins: every prefix of an address that ends before a slash
     or question mark is a candidate base.
     """
-    sites = collections.select("collection_id", base_url().alias("base"), http_urls(F.col("urls")).alias("urls"))
-    listed = sites.select("collection_id", "base", F.explode("urls").alias("u")).select("collection_id", "base", comparable_url(F.col("u")).alias("k")).distinct()
-    by_list = pages.select(key, comparable_url(F.col("url")).alias("k")).join(listed, "k").select(key, "collection_id", F.lit(1).alias("listed"), F.length("base").alias("len"))
+    sites = collections.select("collection_id", base_url().alias("_base"), http_urls(F.col("urls")).alias("urls"))
+    listed = sites.select("collection_id", "_base", F.explode("urls").alias("u")).select("collection_id", "_base", comparable_url(F.col("u")).alias("_k")).distinct()
+    by_list = pages.select(key, comparable_url(F.col("url")).alias("_k")).join(listed, "_k").select(key, "collection_id", F.lit(1).alias("listed"), F.length("_base").alias("len"))
     spots = F.transform(F.filter(F.sequence(F.lit(1), F.length("url")), lambda i: F.substr(F.col("url"), i, F.lit(1)).isin("/", "?")), lambda i: F.substr(F.col("url"), F.lit(1), i - 1))
-    prefixes = pages.where(F.length("url") > 0).select(key, F.explode(F.array_distinct(F.concat(spots, F.array("url")))).alias("base")).where("base <> ''")
-    by_base = prefixes.join(sites.where("base <> ''").select("collection_id", "base"), "base").select(key, "collection_id", F.lit(0).alias("listed"), F.length("base").alias("len"))
+    prefixes = pages.where(F.length("url") > 0).select(key, F.explode(F.array_distinct(F.concat(spots, F.array("url")))).alias("_base")).where("_base <> ''")
+    by_base = prefixes.join(sites.where("_base <> ''").select("collection_id", "_base"), "_base").select(key, "collection_id", F.lit(0).alias("listed"), F.length("_base").alias("len"))
     best = F.min_by("collection_id", F.struct(-F.col("listed"), -F.col("len"), F.col("collection_id")))
     return by_list.unionByName(by_base).groupBy(key).agg(best.alias("collection_id"))
 
