@@ -39,10 +39,10 @@ def markdown_canonical(df: DataFrame, markdown: str, name: str) -> DataFrame:
     very top, or the first lines as far as they begin with ``- **``.
     """
     block = F.regexp_extract(markdown, r"\A(---[ \t]*\r?\n(?:(?!---[ \t]*\r?(?:\n|\z))[^\n]*\n)*?---[ \t]*\r?(?:\n|\z)|(?:- \*\*[^\n]*(?:\n|\z))+)", 0)
-    df = df.withColumn("_block", block)
-    lines = F.array_sort(F.transform(F.split("_block", "\n"), letters_and_digits))
-    rest = letters_and_digits(F.expr(f"substring(`{markdown}`, length(_block) + 1)"))
-    return df.withColumn(name, F.nullif(F.when(F.col("_block") == "", letters_and_digits(F.col(markdown))).otherwise(F.concat(F.array_join(lines, ""), rest)), F.lit(""))).drop("_block")
+    df = df.withColumn("__md_block", block)
+    lines = F.array_sort(F.transform(F.split("__md_block", "\n"), letters_and_digits))
+    rest = letters_and_digits(F.expr(f"substring(`{markdown}`, length(__md_block) + 1)"))
+    return df.withColumn(name, F.nullif(F.when(F.col("__md_block") == "", letters_and_digits(F.col(markdown))).otherwise(F.concat(F.array_join(lines, ""), rest)), F.lit(""))).drop("__md_block")
 
 
 def _json_form(value: object) -> str:

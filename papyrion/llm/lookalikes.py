@@ -65,14 +65,14 @@ def lookalike_form(df: DataFrame, value: str, name: str) -> DataFrame:
 
     Each step is a projection of its own, so that no step's expression is repeated in the next one's branches.
     """
-    v, n, touched = F.col(value), F.col(name), F.col("_touched")
-    df = df.withColumn("_touched", v.rlike(_BLOCKS))
+    v, n, touched = F.col(value), F.col(name), F.col("__touched")
+    df = df.withColumn("__touched", v.rlike(_BLOCKS))
     joined = v
     for one, many in JOINED.items():
         joined = F.replace(joined, F.lit(one), F.lit(many))
     df = df.withColumn(name, F.when(touched & v.rlike(r"[ĲĳǄ-ǳﬀ-ﬗ]"), joined).otherwise(v))
     df = df.withColumn(name, F.when(touched, F.translate(n, "".join(_FROM), "".join(_TO))).otherwise(n))
-    return df.withColumn(name, F.when(touched & n.rlike(_ABOVE + _BELOW), F.regexp_replace(n, f"({_ABOVE}+)({_BELOW}+)", "$2$1")).otherwise(n)).drop("_touched")
+    return df.withColumn(name, F.when(touched & n.rlike(_ABOVE + _BELOW), F.regexp_replace(n, f"({_ABOVE}+)({_BELOW}+)", "$2$1")).otherwise(n)).drop("__touched")
 
 
 def with_signature(df: DataFrame, mapped: str, name: str) -> DataFrame:
