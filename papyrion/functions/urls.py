@@ -80,7 +80,8 @@ def sanitize_filename(name: Column, fallback: str = "page", longest: int = 120)
     c = F.regexp_replace(F.coalesce(name, F.lit("")), r'[\x00-\x1F\\/:*?"<>|]', " ")
     c = js_trim(F.regexp_replace(c, f"{WS}+", " "))
     c = F.regexp_replace(F.substring(F.regexp_replace(c, "[. ]+$", ""), 1, longest), "[. ]+$", "")
-    return F.when(c == "", fallback).otherwise(c)
+    # As a replacement, not a CASE: each step refers to the one before once, so the expression doesn't multiply.
+    return F.regexp_replace(c, r"\A\z", fallback)
 
 
 # Device names that Windows reserves.
@@ -88,8 +89,7 @@ RESERVED = ["con", "prn", "aux", "nul", *[f"{d}{n}" for d in ("com", "lpt") for
 
 
 def sanitize_path_segment(segment: Column, fallback: str = "page") -> Column:
-    c = sanitize_filename(segment, fallback)
-    return F.when(F.lower(c).isin(RESERVED), F.concat(F.lit("_"), c)).otherwise(c)
+    return F.regexp_replace(sanitize_filename(segment, fallback), rf"(?i)\A({'|'.join(RESERVED)})\z", "_$1")
 
 
 def relative_markdown_path(url: Column, fallback: str = "page") -> Column:
@@ -141,8 +141,7 @@ def slugify(value: Column, fallback: str = "page", longest: int = 80) -> Column:
             c = F.replace(c, F.lit(joined), F.lit(_SEVERAL[joined]))
     c = F.lower(F.regexp_replace(c, "[̀-ͯ'\"]", ""))
     c = F.regexp_replace(F.regexp_replace(c, "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    c = F.regexp_replace(F.substring(c, 1, longest), "-+$", "")
-    return F.when(c == "", fallback).otherwise(c)
+    return F.regexp_replace(F.regexp_replace(F.substring(c, 1, longest), "-+$", ""), r"\A\z", fallback)
 
 
 def classify_collection_url(url: Column) -> Column:

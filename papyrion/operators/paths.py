@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from papyrion.functions.urls import hostname, relative_markdown_path, sanitize_path_segment, slugify
 from papyrion.operators.ordered import with_rank
+from papyrion.session import materialize
 
 _NUMBERED = r"(?s)^(.*?)((?:-\d+)*)(\.[^./]*)?$"
 
@@ -19,9 +20,11 @@ def unique_paths(df: DataFrame, path: str, order: list[str], name: str = "unique
     ``a``, ``a-1``) do a family's rows go one by one, as the outcome depends on each row before. ``scope`` (a folder, a
     collection) keeps uniqueness to rows of one value. Null paths stay null.
     """
-    key = F.concat_ws("\u0001", *( [F.col(scope)] if scope else []), F.col(path))
+    key = F.concat_ws("\u0001", *([F.col(scope)] if scope else []), F.col(path))
     base, ext = F.regexp_extract(path, _NUMBERED, 1), F.regexp_extract(path, _NUMBERED, 3)
-    keyed = df.withColumn("_key", key).withColumn("_family", F.concat_ws("\u0001", *( [F.col(scope)] if scope else []), base, ext))
+    # Read several times below, so the paths are made once.
+    df = materialize(df)
+    keyed = df.withColumn("_key", key).withColumn("_family", F.concat_ws("\u0001", *([F.col(scope)] if scope else []), base, ext))
     # Families with numbered paths of their own and a repeated path: the only ones where numbers can collide.
     counts = keyed.where(F.col(path).isNotNull()).groupBy("_family", "_key").count().groupBy("_family").agg(F.count("*").alias("paths"), F.max("count").alias("most"))
     chained = counts.where("paths > 1 and most > 1").select("_family", F.lit(True).alias("_chained"))
