@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import shutil
+import io
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +24,18 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if getattr(context, "_papyrion_shipped", False):
         return
-    root = Path(__file__).resolve().parent
-    target = tempfile.mkdtemp(prefix="papyrion-")
-    context.addPyFile(shutil.make_archive(f"{target}/papyrion", "zip", root.parent, root.name))
+    root, data = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    # Through the cluster's own file system, so that every machine can read it.
+    path = f"{shared_dir(spark)}/papyrion-{uuid.uuid4().hex}/papyrion.zip"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    out.write(data.getvalue())
+    out.close()
+    _written.append((spark, path.rsplit("/", 1)[0]))
+    context.addPyFile(path)
     context._papyrion_shipped = True
 
 
