@@ -3,12 +3,14 @@
 A page's Markdown is read as a tree: the page, its regions (headings and rules begin them), their blocks, and the lines.
 Paragraphs pass points for their length and commas to their block and region, discounted by the share of text that
 stands in links; blocks made of menus, notices, sidebars or footers lose points as badly named containers do
-in HTML. The best region and its siblings that score well enough are kept, and with them what they hold; stock lines of
-the site go from wherever they stand.
+in HTML, and are regions of their own, so that their penalty doesn't fall on the article beside them. The best region
+and its siblings that score well enough are kept, and with them what they hold; of weaker siblings only what reads as an
+article's own part stays (sentences, lists and tables without links, links with a description). Stock lines of the site go from wherever they stand.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,11 +23,16 @@ from papyrion.session import read_table
 
 #: Points a furniture block takes away, and the share of the best region's points that keeps a sibling.
 PENALTY, SIBLING_SHARE = 25.0, 0.2
-#: A weak region stays if this share of its points is left after the discount for links.
-MOST_LINKS = 0.25
+#: A paragraph of a weak region stays if it is longer than this and has at most this share in links, or if it is a sentence without links.
+LONG_PARAGRAPH, MOST_LINKS = 80, 0.25
+#: A line of so many words is a sentence, even if its end is cut off.
+SENTENCE_WORDS = 8
 
 
 _RULE = set("-*_ \t​")
+_CJK = re.compile(r"[぀-ヿ一-鿿]")
+_SENTENCE_END = re.compile(r"[.!?:…][\"'”’»)*_]*(?:\s|$)|[。！？：]")
+_ITEM = re.compile(r"^(?:[-*+]|\d+[.)])\s|^[|>]|^!\[")
 
 
 @dataclass
@@ -84,12 +91,22 @@ def link_density(folded: str) -> float:
     return inside / max(1, len(L.link_text(folded)))
 
 
-def paragraph_points(folded: list[str]) -> tuple[float, float]:
-    """Points of a block's lines: one, one for each comma, and up to three for length; less what stands in links, and in full."""
+def paragraph_points(folded: list[str]) -> float:
+    """Points of a block's lines: one, one for each comma, and up to three for length; less what stands in links."""
     text = " ".join(folded)
     commas = text.count(",") + text.count("、") + text.count("，")
-    points = 1 + commas + min(3.0, len(text) / 100)
-    return points * (1 - link_density(text)), points
+    return (1 + commas + min(3.0, len(text) / 100)) * (1 - link_density(text))
+
+
+def own_part(folded: str) -> bool:
+    """Whether a line of a weak region reads as the article's: a long paragraph with few links; a sentence, list item or table row without any; a link that is described."""
+    links = link_density(folded)
+    if links:
+        rest = L._LINK.sub("", folded)
+        # The description may follow on the next line.
+        if len(L._WORD.findall(rest)) >= 3 or _CJK.search(rest) and len(rest) >= 10 or rest.rstrip().endswith(":"):
+            return True
+    return len(folded) > LONG_PARAGRAPH and links < MOST_LINKS or not links and bool(_ITEM.match(folded) or _SENTENCE_END.search(folded) or len(L._WORD.findall(folded)) >= SENTENCE_WORDS)
 
 
 def split_furniture(blocks: list[Block]) -> list[Block]:
@@ -137,34 +154,43 @@ def split_furniture(blocks: list[Block]) -> list[Block]:
 def furniture_lines(markdown: str) -> list[int]:
     """Numbers of the lines that have a letter or digit and aren't part of the article itself."""
     blocks = split_furniture(blocks_of(markdown))
-    # Regions begin at headings and rules; the first holds what stands above the first of them.
+    # Regions begin at headings, rules and where furniture begins or ends; the first holds what stands above the first of them.
+    # A stock line by itself, as a byline, is no container and parts nothing.
     regions: list[list[Block]] = [[]]
+    inside = False
     for b in blocks:
         heading = bool(b.folded and L._HEADING.match(b.folded[0]) and not b.furniture)
-        if (heading or not any(map(L.has_text, b.texts))) and regions[-1]:
+        stock = b.furniture and len(b.folded) == 1 and L.furniture_kind(b.folded[0])[0]
+        if regions[-1] and (heading or not stock and b.furniture != inside or not any(map(L.has_text, b.texts))):
             regions.append([])
+        if not stock or not regions[-1]:
+            inside = b.furniture and not stock
         regions[-1].append(b)
-    scores, whole = [], []
+    scores = []
     for region in regions:
-        score = full = 0.0
         for b in region:
-            if b.furniture:
-                b.points = -PENALTY
-            elif not b.code and any(map(L.has_text, b.texts)):
-                b.points, plain = paragraph_points(b.folded)
-                score += b.points
-                full += plain
-        scores.append(score)
-        whole.append(full)
-    best = max(scores, default=0.0)
+            if not b.code and any(map(L.has_text, b.texts)):
+                b.points = paragraph_points(b.folded) - PENALTY * b.furniture
+        # What is furniture takes nothing from the paragraphs of its region, and adds nothing to them.
+        own = [b.points for b in region if not b.furniture]
+        scores.append(sum(own) if own else sum(b.points for b in region))
+    least = max(max(scores, default=0.0) * SIBLING_SHARE, 1.0)
     gone: list[int] = []
-    for region, score, full in zip(regions, scores, whole, strict=True):
-        # A sibling stays for its points; a short part of the article for having few links.
-        stays = score >= max(best * SIBLING_SHARE, 1.0) or score >= full * MOST_LINKS
-        for b in region:
-            for no, text, folded in zip(b.numbers, b.texts, b.folded, strict=True):
-                if not b.code and L.has_text(text) and (not stays or b.furniture or L.furniture_kind(folded)[0]):
-                    gone.append(no)
+    first = True
+    for region, score in zip(regions, scores, strict=True):
+        named = [(no, b, folded) for b in region if not b.code for no, text, folded in zip(b.numbers, b.texts, b.folded, strict=True) if L.has_text(text)]
+        own = [(no, folded) for no, b, folded in named if not b.furniture and not L.furniture_kind(folded)[0]]
+        # One line by itself above all others is the page's title.
+        title = first and len(own) == 1 and not link_density(own[0][1])
+        first = first and not own
+        stay = {no for no, folded in own if score >= least or title or own_part(folded)}
+        # A heading stays with what it stands over, or for what follows in the next region.
+        heads = {no for no, folded in own if L._HEADING.match(folded)}
+        if len(heads) == len(own) or stay - heads or any(b.code for b in region):
+            stay |= {no for no, folded in own if no in heads and link_density(folded) <= MOST_LINKS}
+        else:
+            stay -= heads
+        gone += [no for no, _, _ in named if no not in stay]
     return gone
 
 

@@ -53,6 +53,42 @@ def test_articles_stay(text):
     assert body.furniture_lines(text) == []
 
 
+def test_weak_regions_without_known_wordings():
+    """Plain-text menus, sidebars and footers of no known wording go for their region's points; an article's short parts stay."""
+    page = """Our range
+Find a branch
+Reach the desk
+
+# The title
+
+A first paragraph, with commas, that says something about the matter at hand, and then goes on for a while, so that it scores.
+
+Another paragraph, with commas, that adds to the first, and to the next, and so on, until it is long enough to lead.
+
+## Steps
+
+- Two eggs
+- [Flour](https://else.test/f): of the finest kind
+
+## See the picture
+
+It is short.
+
+## What other readers opened
+
+A title of theirs
+One more title
+
+---
+
+Wharf Street 4
+Ring the bell twice"""
+    lines = page.split("\n")
+    assert [lines[k - 1] for k in body.furniture_lines(page)] == ["Our range", "Find a branch", "Reach the desk", "## What other readers opened", "A title of theirs", "One more title", "Wharf Street 4", "Ring the bell twice"]
+    # The penalty decides on a region of furniture, and doesn't fall on the article around it.
+    assert body.furniture_lines("Home | Products | Contact\n\n" + page.split("\n\n", 2)[2].split("\n\n## ")[0]) == [1]
+
+
 def test_furniture_on_frames(spark):
     df = spark.createDataFrame([(1, PAGE), (2, None), (3, ""), (None, "Back to top"), (1, PAGE)], "capture_id long, markdown string").withColumn("id", F.lit("clash")).withColumn("line_no", F.lit(0))
     assert body.furniture(df, "capture_id", "markdown").groupBy("capture_id").count().collect() is not None
