@@ -9,6 +9,7 @@ stands beside them, so an article that mentions such a text is none.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -47,18 +48,42 @@ _QUOTED = re.compile(r"[\"“„«»'‘’「]\s*$")
 _DATA = re.compile(r"[!-~]{200,}|\(data:[^\n]*")
 # Words of a sentence that explains placeholders.
 EXPLAINS = re.compile(r"(?i)\b(?:placeholder|the field|the variable|syntax|is filled|are filled|is replaced|are replaced|template engine|write [\"“']|type [\"“']|such as|for example|e\.g\.)")
+#: A page is a case in spite of quotes and explanations if so large a share of its words are placeholders.
+DENSITY = 0.25
+_SENTENCE_END = re.compile(r"(?<!\be\.g)(?<!\bi\.e)(?<!\bz\.B)(?<!\bz\. B)(?<!\bp\.ej)(?<!\bp\. ej)[.!?…]+[\"'”’»)*_]*(?=\s)|[。！？]")
 
 
-def open_placeholder(line: str) -> bool:
-    """Whether a placeholder stands in a line's running text."""
+def placeholders(line: str) -> tuple[int, int]:
+    """How many placeholders stand open in a line's running text, and how many are quoted or explained by their sentence."""
     if not _OPENER.search(line):
-        return False
+        return 0, 0
     text = _DATA.sub(" ", _CODE_SPAN.sub(" ", line))
+    found = told = 0
+    ends = [m.end() for m in _SENTENCE_END.finditer(text)]
     for m in PLACEHOLDER.finditer(text):
-        if _QUOTED.search(text[: m.start()]) or EXPLAINS.search(text):
-            continue
-        return True
-    return False
+        # The sentence around the match; signs within the match end none.
+        before, after = bisect_right(ends, m.start()), bisect_left(ends, m.end())
+        first, last = ends[before - 1] if before else 0, ends[after] if after < len(ends) else len(text)
+        if _QUOTED.search(text[max(first, m.start() - 20) : m.start()]) or EXPLAINS.search(text, first, last):
+            told += 1
+        else:
+            found += 1
+    return found, told
+
+
+def placeholder_page(lines: list[str]) -> bool:
+    """Whether a placeholder stands open, or the quoted and explained ones are as dense as no article has them."""
+    told = 0
+    for line in lines:
+        found, more = placeholders(line)
+        if found:
+            return True
+        told += more
+    if not told:
+        return False
+    rest = PLACEHOLDER.sub(" ", "\n".join(_DATA.sub(" ", _CODE_SPAN.sub(" w ", line)) for line in lines))
+    words = len(L._WORD.findall(_CJK.sub(" ", rest))) + len(_CJK.findall(rest)) // 2
+    return told >= DENSITY * (told + words)
 
 
 def _article_line(folded: str) -> bool:
@@ -77,7 +102,7 @@ def judge_page(markdown: str) -> str | None:
         return None
     blocks = blocks_of(markdown)
     texts = [(t, f) for b in blocks if not b.code for t, f in zip(b.texts, b.folded, strict=True)]
-    if any(open_placeholder(t) for t, _ in texts):
+    if placeholder_page([t for t, _ in texts]):
         return "placeholder"
     # One line of residue at least, and no long paragraph beside it; only then is the rest worth a look.
     if any(len(f) > 2 * L.LONGEST and not L.latin_filler(f) for _, f in texts) or not any(len(f) <= L.LONGEST and L.residue_line(f) or L.latin_filler(f) for _, f in texts if f):

@@ -117,6 +117,16 @@ def test_pages_with_residue(text, kind):
     assert residue.judge_page(text) == kind
 
 
+@pytest.mark.parametrize(("text", "kind"), [
+    ("Dear {{first_name}}, we are glad to see you. We offer services such as translation, for example.", "placeholder"),
+    ("Its syntax is short. Hello {{user.name}}! Nothing else is new, e.g. the paper.", "placeholder"),
+    ("Other sentences come first. Use a name, e.g. {{title}}, where the title should stand. Others follow.", None),
+    ("\"{{title}}\"\n\nSuch as {{content}}\n\nFor example {{author}}", "placeholder"),
+])
+def test_placeholders_by_sentence_and_density(text, kind):
+    assert residue.judge_page(text) == kind
+
+
 @pytest.mark.parametrize(("text", "kind"), [
     ("# {{title}}\n{{content|truncate:120}}\n{{selector:.byline|trim}} {{meta:og:image}}\nKeep 404 pages out of {{site}}", None),
     ("Notes __in bold__ and {single braces}\n[Open page]({{url}})\nPrice in $: {{meta:price}}", None),
