@@ -45,6 +45,7 @@ _CJK = re.compile(r"[぀-ヿ一-鿿]")
 _CODE_SPAN = re.compile(r"(`+)(?!`).*?(?<!`)\1(?!`)")
 _QUOTED = re.compile(r"[\"“„«»'‘’「]\s*$")
 # Embedded data and other endless strings of signs are no text.
+_NOISE = re.compile(r"\(?data:[^)\s]*\)?|[!-~]{200,}")
 _DATA = re.compile(r"[!-~]{200,}|\(data:[^\n]*")
 # Words of a sentence that explains placeholders.
 EXPLAINS = re.compile(r"(?i)\b(?:placeholder|the field|the variable|syntax|is filled|are filled|is replaced|are replaced|template engine|write [\"“']|type [\"“']|such as|for example|e\.g\.)")
@@ -96,6 +97,38 @@ def _article_line(folded: str) -> bool:
     return len(L._WORD.findall(t)) >= 5 or folded.startswith("|") and folded.count("|") > 2
 
 
+def _kinds(folded: str) -> Iterator[bool | None]:
+    """Of a line or, if it is long, of each of its sentences: True for residue, False for an article's, None for what says nothing.
+
+    Embedded data and unbroken noise are taken out first, so that they aren't read as text.
+    """
+    if len(folded) >= 200:
+        folded = L.fold_line(_NOISE.sub(" ", L.link_text(folded)))
+    if len(folded) <= L.LONGEST:
+        yield True if L.residue_line(folded) else False if L.has_text(folded) and _article_line(folded) else None
+        return
+    if L.latin_filler(folded):
+        yield True
+        return
+    start = 0
+    for m in _SENTENCE_END.finditer(folded):
+        if L.has_text(part := folded[start : m.end()].strip()):
+            yield True if L.residue_line(part) or L.residue_line(part.rstrip(".!?…。！？")) else False if _article_line(part) else None
+        start = m.end()
+    if L.has_text(part := folded[start:].strip()):
+        yield True if L.residue_line(part) else False if _article_line(part) else None
+
+
+def _holds_residue(folded: str) -> bool:
+    """Whether a line may be residue: a long one is so only up to its first sentence that is an article's."""
+    if len(folded) <= L.LONGEST:
+        return L.residue_line(folded)
+    for kind in _kinds(folded):
+        if kind is not None:
+            return kind
+    return False
+
+
 def judge_page(markdown: str) -> str | None:
     """``placeholder``, ``residue`` or None for a page's Markdown."""
     if not markdown or not markdown.strip():
@@ -104,8 +137,8 @@ def judge_page(markdown: str) -> str | None:
     texts = [(t, f) for b in blocks if not b.code for t, f in zip(b.texts, b.folded, strict=True)]
     if placeholder_page([t for t, _ in texts]):
         return "placeholder"
-    # One line of residue at least, and no long paragraph beside it; only then is the rest worth a look.
-    if any(len(f) > 2 * L.LONGEST and not L.latin_filler(f) for _, f in texts) or not any(len(f) <= L.LONGEST and L.residue_line(f) or L.latin_filler(f) for _, f in texts if f):
+    # One line of residue at least; only then is the rest worth a look.
+    if not any(_holds_residue(f) for _, f in texts if f):
         return None
     residue = article = 0
     for b in split_furniture(blocks):
@@ -113,10 +146,11 @@ def judge_page(markdown: str) -> str | None:
             article += len(b.numbers) > 1
         elif not b.furniture:
             for f in b.folded:
-                if L.latin_filler(f) or L.residue_line(f):
-                    residue += 1
-                elif L.has_text(f):
-                    article += _article_line(f)
+                for kind in _kinds(f):
+                    residue += kind is True
+                    article += kind is False
+                    if article:
+                        return None
     return "residue" if residue and not article else None
 
 

@@ -127,6 +127,20 @@ def test_placeholders_by_sentence_and_density(text, kind):
     assert residue.judge_page(text) == kind
 
 
+@pytest.mark.parametrize(("text", "kind"), [
+    ("Page not found\n\n![x](data:image/png;base64," + "QUJD" * 2000 + ")", "residue"),
+    ("Please enable JavaScript to view this page.\n\nhttps://else.test/" + "a1b2" * 300, "residue"),
+    ("Page not found. " + "Please try again later. " * 30, "residue"),
+    ("Hier steht ein Text. " * 20, "residue"),
+    ("[Page not found](https://else.test/" + "a1b2" * 300 + ")", "residue"),
+    ("Page not found\n\n![x](data:image/png;base64," + "QUJD" * 2000 + ") The article goes on beside the picture.", None),
+    ("Page not found. " + "This article explains in detail what such pages are good for and how to write them. " * 9, None),
+    ("Page not found\n\n" + "An article of one long line, with a word on errors. " * 20, None),
+])
+def test_residue_in_long_lines(text, kind):
+    assert residue.judge_page(text) == kind
+
+
 @pytest.mark.parametrize(("text", "kind"), [
     ("# {{title}}\n{{content|truncate:120}}\n{{selector:.byline|trim}} {{meta:og:image}}\nKeep 404 pages out of {{site}}", None),
     ("Notes __in bold__ and {single braces}\n[Open page]({{url}})\nPrice in $: {{meta:price}}", None),
