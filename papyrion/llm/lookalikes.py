@@ -75,15 +75,42 @@ def lookalike_form(df: DataFrame, value: str, name: str) -> DataFrame:
     return df.withColumn(name, F.when(touched & n.rlike(_ABOVE + _BELOW), F.regexp_replace(n, f"({_ABOVE}+)({_BELOW}+)", "$2$1")).otherwise(n)).drop("__touched")
 
 
+# The characters that the UNICODE collation passes over (controls, joiners, selectors, marks of cantillation and music).
+_PASSED_OVER = (
+    "["
+    r"\u0001-\u0008\u000E-\u001F\u007F-\u0084\u0086-\u009F\u00AD\u034F\u0488-\u0489\u0591-\u05AF\u05BD\u05C4-\u05C5\u0600-\u0605\u0610-\u061A\u061C\u0640"
+    r"\u06D6-\u06DD\u06DF-\u06E4\u06E7-\u06E8\u06EA-\u06ED\u070F\u0740\u0743-\u0744\u0747-\u074A\u07FA\u0890-\u0891\u0898-\u089D\u08CA-\u08E2\u08EA-\u08EF"
+    r"\u08F3\u0951-\u0952\u0F18-\u0F19\u0F35\u0F37\u0F3E-\u0F3F\u0F86-\u0F87\u0FC6\u17B4-\u17B5\u17D3\u180A-\u180F\u1A7F\u1B6B-\u1B73\u1CD0-\u1CE8\u1CF4"
+    r"\u1CF7-\u1CF9\u200B-\u200F\u202A-\u202E\u2060-\u2064\u2066-\u206F\u2D7F\uA670-\uA672\uA8E0-\uA8F1\uFE00-\uFE0F\uFE21\uFE23-\uFE26\uFE28\uFE2A-\uFE2D"
+    r"\uFE2F\uFE73\uFEFF\uFFF9-\uFFFB\x{102E0}\x{10EFD}-\x{10EFF}\x{110BD}\x{110CD}\x{11366}-\x{1136C}\x{11370}-\x{11374}\x{113E1}-\x{113E2}"
+    r"\x{13430}-\x{13440}\x{13447}-\x{13455}\x{16FE4}\x{1BCA0}-\x{1BCA3}\x{1CF00}-\x{1CF2D}\x{1CF30}-\x{1CF46}\x{1D165}-\x{1D169}\x{1D16D}-\x{1D182}"
+    r"\x{1D185}-\x{1D18B}\x{1D1AA}-\x{1D1AD}\x{1D242}-\x{1D244}\x{1DA00}-\x{1DA36}\x{1DA3B}-\x{1DA6C}\x{1DA75}\x{1DA84}\x{1DA9B}-\x{1DA9F}"
+    r"\x{1DAA1}-\x{1DAAF}\x{1E8D0}-\x{1E8D6}\x{E0001}\x{E0020}-\x{E007F}\x{E0100}-\x{E01EF}"
+    "]"
+)
+# Common characters that are neither passed over nor digits; they are told apart first, since the class above is slow.
+_COMMON = r"\t\n\r -~\u00C0-\u034E\u0350-\u037D\u037F-\u0482\u048A-\u0590\u2010-\u2029\u2030-\u205F\u20A0-\u214F\u2190-\u245F\u2500-\u2775\u3000-\u3006\u3008-\u3020\u302A-\u318F\u3400-\uA61F\uAC00-\uD7A3\uFF00-\uFF9F\x{1F300}-\x{1FAFF}"
+# Two signs and the newest digits.
+_MORE = "\u037E\u1FEF\U00010D40\U000116D0\U000116DA\U00011BF0\U00016130\U00016D70\U0001E5F1\U00010D41\U000116D1\U000116DB\U00011BF1\U00016131\U00016D71\U0001E5F2\U00010D42\U000116D2\U000116DC\U00011BF2\U00016132\U00016D72\U0001E5F3\U00010D43\U000116D3\U000116DD\U00011BF3\U00016133\U00016D73\U0001E5F4\U00010D44\U000116D4\U000116DE\U00011BF4\U00016134\U00016D74\U0001E5F5\U00010D45\U000116D5\U000116DF\U00011BF5\U00016135\U00016D75\U0001E5F6\U00010D46\U000116D6\U000116E0\U00011BF6\U00016136\U00016D76\U0001E5F7\U00010D47\U000116D7\U000116E1\U00011BF7\U00016137\U00016D77\U0001E5F8\U00010D48\U000116D8\U000116E2\U00011BF8\U00016138\U00016D78\U0001E5F9\U00010D49\U000116D9\U000116E3\U00011BF9\U00016139\U00016D79\U0001E5FA\u212A"
+# Signs and digits of other scripts that equal an ASCII character under that collation.
+_ASCII_LIKE = {chr(c): str(int(n)) for c in range(0x80, 0x20000) if unicodedata.category(chr(c))[0] == "N" and (n := unicodedata.numeric(chr(c), -1)) in range(10)} | dict(zip(_MORE, ";`0000000111111122222223333333444444455555556666666777777788888889999999K", strict=True))
+
+
 def with_signature(df: DataFrame, mapped: str, name: str) -> DataFrame:
     """Adds ``name``: a hash that is equal for values equal under the collation.
 
-    It is taken of the ASCII characters, without letters that bear a combining mark: as one character or as two, an
-    accented letter then leaves nothing.
+    It is taken of the ASCII characters, without letters (and = < >) that bear a combining mark: as one character or as
+    two, an accented letter then leaves nothing. What the collation passes over goes first, since some of it are marks
+    by category (U+034F, variation selectors) and any may stand between a letter and its accent; digits of other scripts
+    count as the ASCII ones that they equal.
     """
-    m = F.col(mapped)
-    df = df.withColumn(name, F.when(m.rlike(r"[̀-ͯ]"), F.regexp_replace(m, r"[A-Za-z](?=\p{Mn})", "")).otherwise(m))
-    return df.withColumn(name, F.xxhash64(F.regexp_replace(F.col(name), r"[^\t\n\r -~]+", "")))
+    m, n, odd = F.col(mapped), F.col(name), F.col("__odd")
+    df = df.withColumn("__odd", m.rlike(f"[^{_COMMON}]"))
+    df = df.withColumn(name, F.when(odd, F.regexp_replace(m, f"(?![{_COMMON}]){_PASSED_OVER}", "")).otherwise(m))
+    df = df.withColumn(name, F.when(n.rlike(r"[\u0300-\u036F]"), F.regexp_replace(n, r"[A-Za-z=<>](?=\p{M}*[\u0300-\u036F])", "")).otherwise(n))
+    digits = rf"(?![{_COMMON}])[[\p{{N}}&&[^0-9]]{_MORE}]"
+    df = df.withColumn(name, F.when(odd & n.rlike(digits), F.translate(n, "".join(_ASCII_LIKE), "".join(_ASCII_LIKE.values()))).otherwise(n))
+    return df.withColumn(name, F.xxhash64(F.regexp_replace(n, r"[^\t\n\r -~]+", ""))).drop("__odd")
 
 
 def lookalike_classes(values: DataFrame) -> DataFrame:

@@ -31,6 +31,19 @@ def brute_pairs(data):
     return out
 
 
+def test_signature_of_equal_values(spark):
+    """Values that the collation holds equal have one signature, whatever stands undrawn in them; unify gives them one form."""
+    groups = [
+        ["word", "wo\u034frd", "w\u200bord", "wor\ufe0fd", "wo\u0591rd"], ["caf\u00e9", "cafe\u0301", "cafe\u200b\u0301", "cafe\u00ad\u0301"],
+        ["r\u00e9sum\u00e9 ok", "r\u00e9sume\u0301 o\ufe0fk", "re\u0301sume\u0301 o\u034fk"], ["a\u2260b", "a=\u0338b"], ["no 10;", "no \u0661\u0660\u037e"],
+    ]
+    df = spark.createDataFrame([("title", 10 * g + k, v) for g, vs in enumerate(groups) for k, v in enumerate(vs)], VALUES)
+    signed = lookalikes.with_signature(lookalikes.lookalike_form(df, "value", "mapped"), "mapped", "sig").selectExpr("floor(record_id / 10) g", "sig", "collate(mapped, 'UNICODE') form")
+    assert signed.groupBy("g").agg(F.countDistinct("form").alias("forms"), F.countDistinct("sig").alias("sigs")).where("forms <> 1 or sigs <> 1").count() == 0
+    assert lookalikes.lookalike_pairs(df).count() == sum(len(vs) * (len(vs) - 1) // 2 for vs in groups)
+    assert lookalikes.unify(df).groupBy(F.expr("floor(record_id / 10)")).agg(F.countDistinct("form").alias("n")).where("n > 1").count() == 0
+
+
 def test_lookalike_pairs_by_brute_force(spark):
     random.seed(1)
     spell = lambda t: random.choice([t, t, unicodedata.normalize("NFD", t), t.replace("a", "а").replace("O", "Ο"), t.replace("fi", "ﬁ"), t.replace(" ", " "), t[:2] + "​" + t[2:], "".join(chr(ord(c) + 0xFEE0) if c.isascii() and c.isalnum() else c for c in t), t.upper(), t.replace("é", "e"), t + "²", t.replace("o", "р")])
