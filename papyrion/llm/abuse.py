@@ -138,6 +138,15 @@ _LONG = re.compile(rf"\w*({_LETTER})\1\1\w*")
 _SENTENCE = re.compile(r"[.!?。！？\n]+(?=\s|$)|[。！？\n]+")
 _CJK = re.compile(r"[぀-ヿ一-鿿]")
 
+_SPACE = re.compile(r"[^\S ]\s*| \s+")
+_PARAGRAPH = "\u2029"
+
+
+def _one_space(m: re.Match) -> str:
+    """White space as one sign: a blank, a line's end or a paragraph's end."""
+    ends = m[0].replace("\r\n", "\n").replace("\r", "\n")
+    return " " if "\n" not in ends and _PARAGRAPH not in ends else "\n" if ends.count("\n") == 1 and _PARAGRAPH not in ends else _PARAGRAPH
+
 
 def fold(text: str) -> str:
     return text.lower().translate(_FOLD)
@@ -167,18 +176,33 @@ class Lexicon(dict):
             self.automaton.add_word(e, (e, kind, weight, bool(_CJK.search(e))))
         self.automaton.make_automaton()
         self.words = {w for e, (kind, weight) in entries.items() if kind == "hit" and weight >= 1 for w in re.findall(r"\w+", e) if len(w) > 2}
+        # Entries without their spaces and their words, for letters with gaps between them; exceptions stand for themselves there too.
+        self.joined = ahocorasick.Automaton()
+        for w in self.words:
+            self.joined.add_word(w, (len(w), w))
+        for e, (kind, _) in entries.items():
+            if kind != "report" and len(bare := e.replace(" ", "")) > 2 and bare.isalnum():
+                self.joined.add_word(bare, (len(bare), e))
+        self.joined.make_automaton()
         self.by_length: dict[int, list[str]] = {}
         for w in sorted(self.words):
             self.by_length.setdefault(len(w), []).append(w)
 
     def spelled(self, m: re.Match) -> str:
-        """Letters with gaps between them."""
+        """Letters with gaps between them: every entry in them is put back, of overlapping ones the longest."""
         word = re.sub(r"[ .\-_·*]", "", m[0])
-        for cut in range(3):
-            for end in (len(word), len(word) - 1):
-                if word[cut:end] in self.words and end - cut > 2:
-                    return f"{' '.join(word[:cut])} {word[cut:end]} {word[end:]}".strip()
-        return m[0]
+        found = sorted(((-n, end - n + 1, e) for end, (n, e) in self.joined.iter(word)))
+        kept: dict[int, tuple[int, str]] = {}
+        for n, start, e in found:
+            if all(start - n <= a or b <= start for a, (b, _) in kept.items()):
+                kept[start] = (start - n, e)
+        if not kept:
+            return m[0]
+        parts, at = [], 0
+        for start, (end, e) in sorted(kept.items()):
+            parts += [*word[at:start], e]
+            at = end
+        return " ".join([*parts, *word[at:]])
 
     def starred(self, m: re.Match) -> str:
         token = m[0]
@@ -214,14 +238,16 @@ class Lexicon(dict):
 
     def plain(self, text: str) -> str:
         """Folded text with disguised words of the lexicon put back."""
-        t = " ".join(map(self.__getitem__, text.split(" ")))
+        t = " ".join(map(self.__getitem__, _SPACE.sub(_one_space, text).split(" ")))
         return _SPELLED.sub(self.spelled, t) if _GAPS.search(t) else t
 
     def rate(self, text: str) -> tuple[float, float]:
         """Total weight, and the weight of the worst sentence."""
         t = self.plain(text)
+        # Entries may stand across a line's end, but not across a paragraph's; both end a sentence.
+        running, t = t.replace("\n", " "), t.replace(_PARAGRAPH, "\n")
         hits, exceptions, reports = [], [], []
-        for end, (e, kind, weight, cjk) in self.automaton.iter(t):
+        for end, (e, kind, weight, cjk) in self.automaton.iter(running):
             start = end - len(e) + 1
             if not cjk and ((start and (t[start - 1].isalnum())) or (end + 1 < len(t) and t[end + 1].isalnum())) and not (kind == "report" and not (start and t[start - 1].isalnum())):
                 continue

@@ -239,6 +239,16 @@ def test_abuse(text):
     assert lexicon.rate(text)[1] >= abuse.THRESHOLD and lexicon.rate("A normal sentence. " * 500 + text)[1] >= abuse.THRESHOLD
 
 
+@pytest.mark.parametrize("text", ["k i l l y o u r s e l f", "f u c k y o u", "h e y, a b c m o r o n x y z", "x y z a i d i o t", "y o u are scum", "Kill\nyourself already.", "kill\tyourself", "Kill  yourself already.", "kill \r\n yourself"])
+def test_abuse_in_runs_and_across_white_space(text):
+    assert abuse.Lexicon().rate(text)[1] >= abuse.THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["c o c k t a i l", "How to kill\n\nyourself is a word.", "Shortcuts: a b c d e f g h"])
+def test_no_abuse_in_runs_and_across_paragraphs(text):
+    assert abuse.Lexicon().rate(text)[1] < abuse.THRESHOLD
+
+
 @pytest.mark.parametrize("text", [
     "This damn printer jams again.", "The breeder wrote that the bitch nursed five puppies.", "The exhibition shows a nude in oil.", "A naked domain needs a redirect.", "Essexham and Cockmere lie on the route.", "Adult education courses begin in autumn.", "Moderators removed 9 abusive comments this week.", "The novel's villain is killed in chapter 9.",
     "Penetration tests start on day 9.", "The cock crowed, and the ass carried hay.", "Kill the parent process first, then strip the binary and execute the child.", "Our code of conduct forbids insults; calling someone an idiot leads to a warning.", "Stupid mistake of mine: I forgot it.", "The clinic explains breast exams, sexual health and safe sex.", "The report describes how hate speech against them was studied and countered.", "Die Anmeldung dauert etwa 9 Minuten.", "",
