@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 from papyrion.llm import wordings as W
 from papyrion.llm.abuse import _INVISIBLE
@@ -14,8 +15,10 @@ FOOTER = W.Wordings(W.FOOTER)
 BOILERPLATE = W.Wordings(W.COOKIE + W.FOOTER.strip() + "\n" + W.STOCK.strip())
 RESIDUE = W.Wordings(W.ERRORS + W.SCRIPTS.strip() + "\n" + W.FILLER.strip())
 
-#: Longer lines are no furniture and no residue, only paragraphs.
+#: Longer lines are folded only where they are looked at, and are residue only sentence by sentence.
 LONGEST = 240
+#: A row of so many links and no other word is a menu, at any length.
+LINK_ROW = 4
 _FOLD = {ord(a): b for a, b in zip(_FROM, _TO, strict=True) if not "Ѐ" <= a <= "ӿ" and not "぀" <= a <= "ヿ"} | {ord(k): v for k, v in JOINED.items()} | {ord(c): None for c in _INVISIBLE}
 _TO_LATIN = {ord(a): b for a, b in zip(_FROM, _TO, strict=True) if "Ѐ" <= a <= "ӿ"}
 _TO_CYRILLIC = {ord(b): a for a, b in zip(_FROM, _TO, strict=True) if "а" <= a <= "я" or "А" <= a <= "Я"}
@@ -61,7 +64,7 @@ def menu_line(folded: str, t: str) -> bool:
     """A menu entry, a row of them, a breadcrumb or a link within the site alone on its line; ``t`` is the bare line."""
     if t in MENU:
         return True
-    if len(folded) > LONGEST or not _SEPARATED.search(folded):
+    if not _SEPARATED.search(folded):
         return False
     m = _ONLY_LINK.match(t)
     if m:
@@ -77,6 +80,17 @@ def menu_line(folded: str, t: str) -> bool:
     return False
 
 
+@lru_cache(maxsize=512)
+def long_furniture(folded: str) -> tuple[bool, bool]:
+    """The same as ``furniture_kind`` for a long line: a notice by its wording, a menu with its addresses by its links' texts."""
+    t = bare(fold_line(folded))
+    if "](" not in t:
+        return (BOILERPLATE.fullmatch(t),) * 2
+    text = link_text(t)
+    fixed = BOILERPLATE.fullmatch(text) or t.count("](") >= LINK_ROW and not has_text(_LINK.sub("", t)) and all(len(m[1]) <= 60 for m in _LINK.finditer(t))
+    return fixed, fixed or len(text) <= LONGEST and menu_line(fold_line(folded), t)
+
+
 _seen: dict[str, tuple[bool, bool]] = {}
 
 
@@ -86,7 +100,7 @@ def furniture_kind(folded: str) -> tuple[bool, bool]:
     Furniture repeats, so short lines are remembered.
     """
     if len(folded) > LONGEST:
-        return False, False
+        return long_furniture(folded)
     known = _seen.get(folded)
     if known is None:
         t = bare(folded)

@@ -89,6 +89,16 @@ Ring the bell twice"""
     assert body.furniture_lines("Home | Products | Contact\n\n" + page.split("\n\n", 2)[2].split("\n\n## ")[0]) == [1]
 
 
+def test_long_furniture():
+    notice = "We use cookies to count visits. " + "You can change your choice at any time, and read more on our partners. " * 5
+    menu = " | ".join(f"[{w}](https://site.test/{'a' * 60}/{w})" for w in ("Home", "Products", "Pricing", "Contact"))
+    links = " ".join(f"[Topic {k}](https://site.test/{'a' * 60}/{k})" for k in range(6))
+    article = "An article goes on, with commas, for a while. " * 9
+    cited = " ".join(f"[Topic {k}](https://site.test/{'a' * 60}/{k}) tells of it," for k in range(6))
+    assert min(map(len, (notice, menu, links, article, cited))) > 240
+    assert body.furniture_lines("\n".join([notice, menu, article, links, article, cited])) == [1, 2, 4]
+
+
 def test_furniture_on_frames(spark):
     df = spark.createDataFrame([(1, PAGE), (2, None), (3, ""), (None, "Back to top"), (1, PAGE)], "capture_id long, markdown string").withColumn("id", F.lit("clash")).withColumn("line_no", F.lit(0))
     assert body.furniture(df, "capture_id", "markdown").groupBy("capture_id").count().collect() is not None
