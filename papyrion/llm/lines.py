@@ -92,16 +92,17 @@ def long_furniture(folded: str) -> tuple[bool, bool]:
 
 
 _seen: dict[str, tuple[bool, bool]] = {}
+_recent: dict[str, tuple[bool, bool]] = {}
 
 
 def furniture_kind(folded: str) -> tuple[bool, bool]:
     """Whether a line is furniture wherever it stands (notices, footers, stock lines), and whether it is that or a menu entry or button.
 
-    Furniture repeats, so short lines are remembered.
+    Furniture repeats, so short lines are remembered; others only until their page has been read twice.
     """
     if len(folded) > LONGEST:
         return long_furniture(folded)
-    known = _seen.get(folded)
+    known = _seen.get(folded) or _recent.get(folded)
     if known is None:
         t = bare(folded)
         fixed = BOILERPLATE.fullmatch(link_text(t))
@@ -110,6 +111,10 @@ def furniture_kind(folded: str) -> tuple[bool, bool]:
             _seen.clear()
         if len(folded) <= 80:
             _seen[folded] = known
+        else:
+            if len(_recent) >= 512:
+                _recent.clear()
+            _recent[folded] = known
     return known
 
 
