@@ -1,17 +1,24 @@
 """What changed between consecutive full snapshots (problem 4).
 
-Each snapshot's rows are sorted by key and cut into content-defined chunks: a chunk begins where a hash of the key says
-so, so one inserted or removed row moves the border of one chunk only. Chunks whose digest occurs in both snapshots are
-dropped unread; the rows of the others are grouped by key, which tells added, removed and changed rows apart.
+The pages of all snapshots are rows, range-partitioned and sorted by (snapshot, key), so that a snapshot of any size
+spreads over many tasks. One scan cuts each partition into content-defined chunks: a chunk begins where a hash of the key
+says so, so one inserted or removed row moves the border of one chunk only. Chunks whose digest occurs in both snapshots
+are dropped unread; the rows of the others are grouped by key, which tells added, removed and changed rows apart.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papyrion.functions.text import js_trim, non_blank, parse_moment
 from papyrion.operators.ordered import with_previous
+from papyrion.session import materialize
 
 #: Mean number of rows in a chunk.
 CHUNK_ROWS = 16
@@ -29,22 +36,67 @@ def page_content(page: Column) -> Column:
     return F.to_json(F.array(F.coalesce(js_trim(page["title"]), F.lit("")), F.coalesce(F.lower(page["url"]), F.lit("")), moment))
 
 
-def _sorted_rows(pages: Column) -> Column:
-    """Key-sorted array of (k, p, h); rows of one key stand in the list's order."""
-    rows = F.transform(pages, lambda p, i: F.struct(page_identity(p).alias("k"), i.alias("p"), F.md5(page_content(p)).alias("h")))
-    return F.array_sort(F.filter(rows, lambda r: r["k"].isNotNull()))
-
-
-def _first_of_key(rows: Column) -> Column:
-    return F.filter(rows, lambda r, i: (i == 0) | (r["k"] != F.try_element_at(rows, i)["k"]))
+def snapshot_rows(snaps: DataFrame) -> DataFrame:
+    """inventory_id, k, h (a hash of the content) and border: one row for each page of each snapshot, the first of its key.
 
-
-def _chunks(rows: Column, chunk_rows: int) -> Column:
-    """Array of (digest, rows); borders depend on keys alone."""
-    n = F.size(rows)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (n > 0) & ((i == 1) | (F.pmod(F.xxhash64(F.element_at(rows, i)["k"]), F.lit(chunk_rows)) == 0)))
-    cut = lambda s, j: F.slice(rows, s, F.coalesce(F.try_element_at(starts, j + 2), n + 1) - s)
-    return F.transform(starts, lambda s, j: F.struct(F.sha2(F.array_join(F.transform(cut(s, j), lambda r: F.concat(r["k"], F.lit("\u0001"), r["h"])), "\u0002"), 256).alias("digest"), F.transform(cut(s, j), lambda r: F.struct(r["k"].alias("k"), r["h"].alias("h"))).alias("rows")))
+    The page's fields are read in one projection after the explode; repeats of a key are pre-aggregated before the shuffle.
+    """
+    pages = snaps.select("inventory_id", F.posexplode("pages").alias("pos", "page")).where("page is not null")
+    rows = pages.select("inventory_id", page_identity(F.col("page")).alias("k"), F.struct("pos", F.unhex(F.md5(page_content(F.col("page")))).alias("h")).alias("first")).where("k is not null")
+    return rows.groupBy("inventory_id", "k").agg(F.min("first")["h"].alias("h"))
+
+
+def _chunk_scan() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Scans sorted rows (inventory_id, k, h, border) and gives one row for each chunk: its snapshot, digest and rows."""
+
+    def closed(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        """The chunks of ``rows``, which begin at ``starts``."""
+        ids, keys, contents = (rows.column(c).combine_chunks() for c in ("inventory_id", "k", "h"))
+        ends = [*starts[1:].tolist(), len(keys)]
+        listed_keys, listed_contents = keys.to_pylist(), contents.to_pylist()
+        digests = []
+        for a, b in zip(starts.tolist(), ends, strict=True):
+            digest = hashlib.sha256()
+            for k, h in zip(listed_keys[a:b], listed_contents[a:b], strict=True):
+                digest.update(k.encode("utf-8", "surrogatepass"))
+                digest.update(b"\0")
+                digest.update(h)
+            digests.append(digest.digest())
+        offsets = pa.array([*starts.tolist(), len(keys)], pa.int32())
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(starts)), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, keys), pa.ListArray.from_arrays(offsets, contents)], names=["inventory_id", "digest", "ks", "hs"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            fresh = pa.Table.from_batches([b])
+            rows = fresh if rest is None else pa.concat_tables([rest, fresh])
+            ids = rows.column("inventory_id").to_numpy()
+            begins = rows.column("border").to_numpy(zero_copy_only=False).copy()
+            begins[0] = True
+            begins[1:] |= ids[1:] != ids[:-1]
+            starts = np.flatnonzero(begins)
+            # The last chunk may go on in the next batch.
+            if len(starts) > 1:
+                yield closed(rows.slice(0, starts[-1]), starts[:-1])
+            rest = rows.slice(starts[-1])
+        if rest is not None:
+            yield closed(rest, np.zeros(1, dtype=np.int64))
+
+    return scan
+
+
+def snapshot_chunks(rows: DataFrame, chunk_rows: int) -> DataFrame:
+    """inventory_id, digest, ks and hs: the content-defined chunks of snapshots, one after the other in the order of keys.
+
+    A chunk also ends where a partition does; at most one chunk of each partition is then told apart needlessly, and its
+    rows are compared one by one.
+    """
+    spread = rows.repartitionByRange("inventory_id", "k").sortWithinPartitions("inventory_id", "k")
+    kind = rows.schema["inventory_id"].dataType
+    marked = spread.withColumn("border", F.pmod(F.xxhash64("k"), F.lit(chunk_rows)) == 0)
+    return marked.mapInArrow(_chunk_scan(), f"inventory_id {kind.simpleString()}, digest binary, ks array<string>, hs array<binary>")
 
 
 def snapshot_changes(inventories: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -61,16 +113,14 @@ def snapshot_changes(inventories: DataFrame, chunk_rows: int = CHUNK_ROWS) -> Da
     snaps = inventories.select("inventory_id", "collection_id", "last_refreshed_at", "pages").where("inventory_id is not null and collection_id is not null and last_refreshed_at is not null and pages is not null")
     links = with_previous(snaps.select("inventory_id", "collection_id", "last_refreshed_at").distinct(), "collection_id", ["last_refreshed_at", "inventory_id"], "inventory_id", "previous_id")
     links = links.select("inventory_id", "previous_id").where("previous_id is not null")
-    # Copies of a delivery hold the same pages: they meet again as equal rows and are counted once by the digests' set.
-    rows = snaps.select("inventory_id", _sorted_rows(F.filter("pages", lambda p: p.isNotNull())).alias("rows"))
-    rows = rows.select("inventory_id", _first_of_key(F.col("rows")).alias("rows"))
-    chunks = rows.select("inventory_id", F.explode(_chunks(F.col("rows"), chunk_rows)).alias("c")).select("inventory_id", "c.*")
+    # Written once before the range partitioning, which samples its input, and once after, since the chunks are read twice.
+    chunks = materialize(snapshot_chunks(materialize(snapshot_rows(snaps)), chunk_rows))
     roles = links.select(F.col("inventory_id").alias("pair_id"), F.explode(F.array(F.struct(F.lit("cur").alias("role"), F.col("inventory_id").alias("inventory_id")), F.struct(F.lit("prev").alias("role"), F.col("previous_id").alias("inventory_id")))).alias("r")).select("pair_id", "r.*")
     digests = chunks.select("inventory_id", "digest").join(roles, "inventory_id").groupBy("pair_id", "digest").agg(F.min("role").alias("role"), F.max("role").alias("other"))
     open_ = digests.where("role = other").drop("other").join(roles, ["pair_id", "role"])
-    left = chunks.join(open_, ["inventory_id", "digest"]).select("pair_id", "role", F.explode("rows").alias("r"))
-    cur, prev = F.max(F.when(F.col("role") == "cur", F.col("r.h"))), F.max(F.when(F.col("role") == "prev", F.col("r.h")))
-    both = left.groupBy("pair_id", F.col("r.k").alias("page_key")).agg(cur.alias("cur"), prev.alias("prev"))
+    left = chunks.join(open_, ["inventory_id", "digest"]).select("pair_id", "role", F.explode(F.arrays_zip("ks", "hs")).alias("r"))
+    cur, prev = F.max(F.when(F.col("role") == "cur", F.col("r.hs"))), F.max(F.when(F.col("role") == "prev", F.col("r.hs")))
+    both = left.groupBy("pair_id", F.col("r.ks").alias("page_key")).agg(cur.alias("cur"), prev.alias("prev"))
     kind = F.when(F.col("prev").isNull(), "added").when(F.col("cur").isNull(), "removed").when(F.col("cur") != F.col("prev"), "changed")
     return both.select(F.col("pair_id").alias("inventory_id"), "page_key", kind.alias("change_kind")).where("change_kind is not null")
 
