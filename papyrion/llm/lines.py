@@ -4,21 +4,20 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
 
 from papyrion.llm import wordings as W
 from papyrion.llm.abuse import _INVISIBLE
 from papyrion.llm.lookalikes import _FROM, _TO, JOINED
 
-MENU, BUTTONS, SIDEBAR = W.words(W.MENU), W.words(W.BUTTONS), W.words(W.SIDEBAR)
-FOOTER = W.Wordings(W.FOOTER)
-BOILERPLATE = W.Wordings(W.COOKIE + W.FOOTER.strip() + "\n" + W.STOCK.strip())
-RESIDUE = W.Wordings(W.ERRORS + W.SCRIPTS.strip() + "\n" + W.FILLER.strip())
+LABELS, SIDEBAR, BYLINES = W.words(W.MENU) | W.words(W.BUTTONS) | W.words(W.TOOLS), W.words(W.SIDEBAR), W.words(W.BYLINES)
+BUTTONS = W.words(W.BUTTONS)
+NOTICES = W.automaton(W.NOTICES)
+MESSAGE_PARTS = W.automaton({"missing": W.MISSING, "fails": W.FAILS, "message": W.MESSAGES, "scripts": W.SCRIPTS, "switched": W.SWITCHED})
+LOADING = W.words(W.LOADING)
+FILLER = W.Wordings(W.FILLER)
 
-#: Longer lines are folded only where they are looked at, and are residue only sentence by sentence.
-LONGEST = 240
-#: A row of so many links and no other word is a menu, at any length.
-LINK_ROW = 4
+#: A message is a sentence of at most so many words, or characters in a script without spaces.
+MESSAGE_WORDS, MESSAGE_CHARACTERS = 14, 60
 _FOLD = {ord(a): b for a, b in zip(_FROM, _TO, strict=True) if not "Ѐ" <= a <= "ӿ" and not "぀" <= a <= "ヿ"} | {ord(k): v for k, v in JOINED.items()} | {ord(c): None for c in _INVISIBLE}
 _TO_LATIN = {ord(a): b for a, b in zip(_FROM, _TO, strict=True) if "Ѐ" <= a <= "ӿ"}
 _TO_CYRILLIC = {ord(b): a for a, b in zip(_FROM, _TO, strict=True) if "а" <= a <= "я" or "А" <= a <= "Я"}
@@ -27,12 +26,10 @@ _MIXED = re.compile(r"\w*(?:[A-Za-z][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-z])\w*")
 _BULLET = re.compile(r"^(?:[-*+•·]|\d+[.)])\s+(?:\[[ xX]\]\s+)?")
 _HEADING = re.compile(r"^#{1,6}\s+")
 _LINK = re.compile(r"!?\[([^\]\n]*)\]\(([^)\s]*)[^)]*\)")
-_ONLY_LINK = re.compile(r"^\[([^\]\n]*)\]\(([^)\s]*)[^)]*\)$")
 _WORD = re.compile(r"[^\W\d_]+")
 _HAS_TEXT = re.compile(r"[^\W_]")
+_STATUS = re.compile(r"^[45]\d\d(?![\w.,]\d)(?=$|[\s:,-])|(?:error|fehler|erreur|ошибка|エラー)[ :]*(?:code[ :]*)?\d+")
 _FENCE = re.compile(r"^\s*(`{3,}|~{3,})")
-_SEPARATED = re.compile(r"\]\(| [|·•/>›»] ")
-_SIDE_ITEM = re.compile(r"·\s*\d+\s*min$|^(?:[-*+•]\s+)?.*\(\d+\)$")
 
 
 def _one_script(m: re.Match) -> str:
@@ -60,90 +57,35 @@ def link_text(text: str) -> str:
     return _LINK.sub(r"\1", text) if "](" in text else text
 
 
-def menu_line(folded: str, t: str) -> bool:
-    """A menu entry, a row of them, a breadcrumb or a link within the site alone on its line; ``t`` is the bare line."""
-    if t in MENU:
-        return True
-    if not _SEPARATED.search(folded):
-        return False
-    m = _ONLY_LINK.match(t)
-    if m:
-        return m[1].strip() in MENU or m[2][:1] in "/#" or bool(FOOTER.fullmatch(m[1].strip()))
-    for sep in (" | ", " · ", " • ", " / "):
-        parts = link_text(t).split(sep)
-        if len(parts) > 1 and sum(p.strip() in MENU for p in parts) * 2 >= len(parts):
-            return True
-    for sep in (" > ", " › ", " » ", " / "):
-        parts = [p.strip() for p in link_text(folded.lstrip("-*+ ")).split(sep)]
-        if len(parts) > 1 and not folded.startswith(">") and all(parts) and len(folded) < 160 and (parts[0] in MENU or parts[1] in MENU):
-            return True
-    return False
-
-
-@lru_cache(maxsize=512)
-def long_furniture(folded: str) -> tuple[bool, bool]:
-    """The same as ``furniture_kind`` for a long line: a notice by its wording, a menu with its addresses by its links' texts."""
-    t = bare(fold_line(folded))
-    if "](" not in t:
-        return (BOILERPLATE.fullmatch(t),) * 2
-    text = link_text(t)
-    fixed = BOILERPLATE.fullmatch(text) or t.count("](") >= LINK_ROW and not has_text(_LINK.sub("", t)) and all(len(m[1]) <= 60 for m in _LINK.finditer(t))
-    return fixed, fixed or len(text) <= LONGEST and menu_line(fold_line(folded), t)
-
-
-_seen: dict[str, tuple[bool, bool]] = {}
-_recent: dict[str, tuple[bool, bool]] = {}
-
-
-def furniture_kind(folded: str) -> tuple[bool, bool]:
-    """Whether a line is furniture wherever it stands (notices, footers, stock lines), and whether it is that or a menu entry or button.
-
-    Furniture repeats, so short lines are remembered; others only until their page has been read twice.
-    """
-    if len(folded) > LONGEST:
-        return long_furniture(folded)
-    known = _seen.get(folded) or _recent.get(folded)
-    if known is None:
-        t = bare(folded)
-        fixed = BOILERPLATE.fullmatch(link_text(t))
-        known = fixed, fixed or t in BUTTONS or menu_line(folded, t)
-        if len(_seen) >= 200_000:
-            _seen.clear()
-        if len(folded) <= 80:
-            _seen[folded] = known
-        else:
-            if len(_recent) >= 512:
-                _recent.clear()
-            _recent[folded] = known
-    return known
-
-
-def sidebar_heading(folded: str) -> bool:
-    return bare(folded).rstrip(":") in SIDEBAR
-
-
-def side_item(folded: str) -> bool:
-    """A line of a sidebar: a link within the site, or a title with a count or a reading time."""
-    m = _ONLY_LINK.match(bare(folded))
-    return bool(m and m[2][:1] in "/#") or bool(_SIDE_ITEM.search(folded))
-
-
 def latin_filler(folded: str) -> bool:
     """Filler that imitates Latin: most words are from its vocabulary."""
     found = _WORD.findall(folded)
     return len(found) >= 4 and sum(w in W.LATIN for w in found) * 5 >= len(found) * 3
 
 
+def message(text: str) -> bool:
+    """Whether a short folded sentence is an error message or a notice that scripts are needed: a status code, or what is missing and how it fails."""
+    if text in LOADING:
+        return True
+    roles = {role for _, role in MESSAGE_PARTS.iter(text)}
+    if not roles and not text[:1].isdigit() and not _STATUS.search(text):
+        return False
+    n = len(_WORD.findall(text))
+    if n > MESSAGE_WORDS or n == 1 and len(text) > MESSAGE_CHARACTERS:
+        return False
+    return "message" in roles or {"missing", "fails"} <= roles or {"scripts", "switched"} <= roles or bool((m := _STATUS.search(text)) and (n <= 6 or m.start() == 0))
+
+
 def residue_line(folded: str) -> bool:
     """A line that is filler, an error message or a notice that scripts are needed, perhaps with a name before or after."""
     t = link_text(bare(folded))
     if not t:
         return False
-    if RESIDUE.fullmatch(t) or latin_filler(t):
+    if FILLER.fullmatch(t) or latin_filler(t) or message(t):
         return True
     for sep in (" - ", " | ", ": ", " – "):
         head, found, rest = t.partition(sep)
-        if found and len(head) <= 40 and " " not in head.strip() and (RESIDUE.fullmatch(rest) or latin_filler(rest)):
+        if found and len(head) <= 40 and " " not in head.strip() and (FILLER.fullmatch(rest) or latin_filler(rest) or message(rest)):
             return True
     return False
 
@@ -151,7 +93,7 @@ def residue_line(folded: str) -> bool:
 def metadata_lines(lines: list[str]) -> int:
     """Number of lines of a leading metadata block."""
     if lines and lines[0].strip() == "---":
-        for i in range(1, min(len(lines), 60)):
+        for i in range(1, len(lines)):
             if lines[i].strip() == "---":
                 return i + 1
         return 0
@@ -161,6 +103,26 @@ def metadata_lines(lines: list[str]) -> int:
     return n
 
 
+def boilerplate(bare: str) -> bool:
+    """Whether a line without its bullet is a menu's word, a button, a page tool or a byline."""
+    t = bare.strip("*_ \t")
+    if t in LABELS:
+        return True
+    ws = t.replace("：", ": ").replace(":", ": ").split()
+    if not 2 <= len(ws) <= 8 or t[-1] in ".!?。":
+        return False
+    return ws[0].rstrip(":") in BYLINES or f"{ws[0]} {ws[1].rstrip(':')}" in BYLINES
+
+
+def notice(text: str) -> bool:
+    """Whether a line is about what notices and footers are about."""
+    return next(NOTICES.iter(text), None) is not None if len(NOTICES) else False
+
+
+def side_heading(folded: str) -> bool:
+    return _HEADING.sub("", folded).strip("*_: \t") in SIDEBAR
+
+
 def has_text(line: str) -> bool:
     """Whether a line has a letter or digit."""
     return bool(_HAS_TEXT.search(line))

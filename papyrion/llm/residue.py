@@ -16,56 +16,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyrion.llm import grammars as G
 from papyrion.llm import lines as L
-from papyrion.llm.body import blocks_of, split_furniture
+from papyrion.llm.body import CODE, HEADING, OWN, RESIDUE, Page
 from papyrion.session import read_table
 
-# The grammars, by delimiter.
-GRAMMARS = {
-    "double braces": r"\{\{[#/^>!&{]?\s*[A-Za-z_@][^{}\n]{0,80}(?:\}\}|$|(?=[\s,!.]))",
-    "dollar braces": r"\$\{\s*[A-Za-z_][\w.]*(?:[:|?][^{}\n]{0,60})?\s*\}",
-    "hash braces": r"#\{\s*[A-Za-z_@][^{}\n]{0,60}\}",
-    "numbered braces": r"(?<![\w{$#\\])\{\d{1,2}\}(?!\})",
-    "named braces": r"(?<![\w{$#%\\`])\{[a-z][a-z_]{2,30}\}(?![}\w])",
-    "percent tags": r"<%[=#-]?[^%\n]{0,80}%>",
-    "brace tags": r"\{%-?\s[^%\n]{0,80}%\}",
-    "double percent": r"%%[A-Za-z_]\w*%%",
-    "percent": r"(?<![%\w])%[A-Z][A-Z0-9_]{1,40}%(?![%\w])",
-    "double at": r"@@[A-Za-z_][\w.]*@@",
-    "underscores": r"(?<![_\w])__(?:[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+|TITLE|NAME|DATE|AUTHOR|URL|CONTENT|BODY|TEXT|EMAIL|COMPANY|SITE)__(?![_\w])",
-    "double brackets": r"(?<!\[)\[\[\s*[a-z_][a-z0-9_.:]*\s*\]\](?![(\]])",
-    "request in brackets": r"\[(?:INSERT|Insert|insert|YOUR|Your|your|ENTER|Enter|ADD|Add)\b[^\[\]\n]{0,60}\](?!\()",
-    "request in angles": r"<(?:YOUR|Your|INSERT|Insert|ENTER|Enter)[ _-][^<>\n]{1,40}>",
-}
-PLACEHOLDER = re.compile("|".join(GRAMMARS.values()))
 #: The form that this project fills: a name with optional prefix and filters.
 OWN_FORM = re.compile(r"\{\{\s*[\w@][\w@.-]*(?::[^|{}\n]+)?\s*(?:\|[^{}\n]*)?\}\}")
-_OPENER = re.compile(r"[{%]|@@|__|\[\[|\[[IiYyEeAa]|<[YyIiEe%]")
 _CJK = re.compile(r"[぀-ヿ一-鿿]")
 _CODE_SPAN = re.compile(r"(`+)(?!`).*?(?<!`)\1(?!`)")
 _QUOTED = re.compile(r"[\"“„«»'‘’「]\s*$")
 # Embedded data and other endless strings of signs are no text.
 _NOISE = re.compile(r"\(?data:[^)\s]*\)?|[!-~]{200,}")
 _DATA = re.compile(r"[!-~]{200,}|\(data:[^\n]*")
-# Words of a sentence that explains placeholders.
-EXPLAINS = re.compile(r"(?i)\b(?:placeholder|the field|the variable|syntax|is filled|are filled|is replaced|are replaced|template engine|write [\"“']|type [\"“']|such as|for example|e\.g\.)")
+# Words right before a placeholder that explain it, and right after it.
+EXPLAINED_BEFORE = re.compile(r"(?i)(?:\b(?:placeholders?|fields?|variables?|tokens?|syntax|notation|such as|for example|for instance|e\.g\.)[^.!?\w]*(?:\w+[^.!?\w]+)?|\b(?:write|writes|type|types|use|insert|called|named)[^.!?\w]+)$")
+EXPLAINED_AFTER = re.compile(r"(?i)^[^.!?]{0,24}\b(?:is filled|are filled|is replaced|are replaced|gets filled|gets replaced|stands for|is a placeholder|are placeholders|is the placeholder)\b")
 #: A page is a case in spite of quotes and explanations if so large a share of its words are placeholders.
 DENSITY = 0.25
+#: Lines longer than this are read sentence by sentence.
+LONG_LINE = 200
 _SENTENCE_END = re.compile(r"(?<!\be\.g)(?<!\bi\.e)(?<!\bz\.B)(?<!\bz\. B)(?<!\bp\.ej)(?<!\bp\. ej)[.!?…]+[\"'”’»)*_]*(?=\s)|[。！？]")
 
 
 def placeholders(line: str) -> tuple[int, int]:
-    """How many placeholders stand open in a line's running text, and how many are quoted or explained by their sentence."""
-    if not _OPENER.search(line):
+    """How many placeholders stand open in a line's running text, and how many are quoted or explained by the words beside them."""
+    if not G.OPENER.search(line):
         return 0, 0
     text = _DATA.sub(" ", _CODE_SPAN.sub(" ", line))
     found = told = 0
     ends = [m.end() for m in _SENTENCE_END.finditer(text)]
-    for m in PLACEHOLDER.finditer(text):
+    for m in G.PLACEHOLDER.finditer(text):
         # The sentence around the match; signs within the match end none.
         before, after = bisect_right(ends, m.start()), bisect_left(ends, m.end())
         first, last = ends[before - 1] if before else 0, ends[after] if after < len(ends) else len(text)
-        if _QUOTED.search(text[max(first, m.start() - 20) : m.start()]) or EXPLAINS.search(text, first, last):
+        head = text[first : m.start()]
+        if _QUOTED.search(head) or EXPLAINED_BEFORE.search(head) or EXPLAINED_AFTER.search(text[m.end() : last]):
             told += 1
         else:
             found += 1
@@ -82,7 +68,7 @@ def placeholder_page(lines: list[str]) -> bool:
         told += more
     if not told:
         return False
-    rest = PLACEHOLDER.sub(" ", "\n".join(_DATA.sub(" ", _CODE_SPAN.sub(" w ", line)) for line in lines))
+    rest = G.PLACEHOLDER.sub(" ", "\n".join(_DATA.sub(" ", _CODE_SPAN.sub(" w ", line)) for line in lines))
     words = len(L._WORD.findall(_CJK.sub(" ", rest))) + len(_CJK.findall(rest)) // 2
     return told >= DENSITY * (told + words)
 
@@ -97,61 +83,62 @@ def _article_line(folded: str) -> bool:
     return len(L._WORD.findall(t)) >= 5 or folded.startswith("|") and folded.count("|") > 2
 
 
+def _sentences(folded: str) -> Iterator[str]:
+    start = 0
+    for m in _SENTENCE_END.finditer(folded):
+        yield folded[start : m.end()].strip()
+        start = m.end()
+    yield folded[start:].strip()
+
+
 def _kinds(folded: str) -> Iterator[bool | None]:
     """Of a line or, if it is long, of each of its sentences: True for residue, False for an article's, None for what says nothing.
 
     Embedded data and unbroken noise are taken out first, so that they aren't read as text.
     """
-    if len(folded) >= 200:
+    if len(folded) >= LONG_LINE:
         folded = L.fold_line(_NOISE.sub(" ", L.link_text(folded)))
-    if len(folded) <= L.LONGEST:
+    if len(folded) < LONG_LINE:
         yield True if L.residue_line(folded) else False if L.has_text(folded) and _article_line(folded) else None
-        return
-    if L.latin_filler(folded):
+    elif L.latin_filler(folded):
         yield True
-        return
-    start = 0
-    for m in _SENTENCE_END.finditer(folded):
-        if L.has_text(part := folded[start : m.end()].strip()):
-            yield True if L.residue_line(part) or L.residue_line(part.rstrip(".!?…。！？")) else False if _article_line(part) else None
-        start = m.end()
-    if L.has_text(part := folded[start:].strip()):
-        yield True if L.residue_line(part) else False if _article_line(part) else None
+    else:
+        for part in _sentences(folded):
+            if L.has_text(part):
+                yield True if L.residue_line(part) or L.residue_line(part.rstrip(".!?…。！？")) else False if _article_line(part) else None
 
 
-def _holds_residue(folded: str) -> bool:
+def _holds_residue(folded: str, kind: str) -> bool:
     """Whether a line may be residue: a long one is so only up to its first sentence that is an article's."""
-    if len(folded) <= L.LONGEST:
-        return L.residue_line(folded)
-    for kind in _kinds(folded):
-        if kind is not None:
-            return kind
-    return False
+    if kind is RESIDUE:
+        return True
+    return len(folded) >= LONG_LINE and next((k for k in _kinds(folded) if k is not None), False)
 
 
 def judge_page(markdown: str) -> str | None:
-    """``placeholder``, ``residue`` or None for a page's Markdown."""
+    """``placeholder``, ``residue`` or None for a page's Markdown.
+
+    Residue stands in an article's place: of the lines that the page's tree keeps, none is an article's beside it.
+    """
     if not markdown or not markdown.strip():
         return None
-    blocks = blocks_of(markdown)
-    texts = [(t, f) for b in blocks if not b.code for t, f in zip(b.texts, b.folded, strict=True)]
-    if placeholder_page([t for t, _ in texts]):
+    page = Page(markdown)
+    texts = [(t, f, kind) for t, f, kind in zip(page.texts, page.folded, page.kinds, strict=True) if kind is not CODE]
+    if placeholder_page([t for t, _, _ in texts]):
         return "placeholder"
     # One line of residue at least; only then is the rest worth a look.
-    if not any(_holds_residue(f) for _, f in texts if f):
+    if not any(_holds_residue(f, kind) for _, f, kind in texts):
+        return None
+    if page.kinds.count(CODE) > 1:
         return None
-    residue = article = 0
-    for b in split_furniture(blocks):
-        if b.code:
-            article += len(b.numbers) > 1
-        elif not b.furniture:
-            for f in b.folded:
-                for kind in _kinds(f):
-                    residue += kind is True
-                    article += kind is False
-                    if article:
-                        return None
-    return "residue" if residue and not article else None
+    residue = 0
+    for folded, kind, keep in zip(page.folded, page.kinds, page.kept(), strict=True):
+        if keep and (kind in OWN or kind is HEADING):
+            for k in _kinds(folded):
+                if k is False and kind in OWN:
+                    return None
+                residue += k is True
+    return "residue" if residue else None
 
 
 def judge_template(template: str) -> str | None:
@@ -159,7 +146,7 @@ def judge_template(template: str) -> str | None:
     if not template or not template.strip():
         return None
     rows = [r.strip() for r in re.split(r"\r\n?|\n", template) if r.strip()]
-    if PLACEHOLDER.search(OWN_FORM.sub(" ", "\n".join(rows))):
+    if G.PLACEHOLDER.search(OWN_FORM.sub(" ", "\n".join(rows))):
         return "placeholder"
     marks = [L.residue_line(L.fold_line(r)) for r in rows]
     return "residue" if marks[0] and marks.count(False) <= 2 else None

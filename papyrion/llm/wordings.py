@@ -35,264 +35,62 @@ tout accepter, accepter, tout refuser, refuser, paramétrer, continuer sans acce
 aceptar todo, aceptar, rechazar, rechazar todo, configurar, принять, принять все, отклонить, настроить, 同意する, 拒否する, 設定, すべて許可
 """
 
-# Wordings of cookie notices.
-COOKIE = r"""
-we use cookies …
-this site uses cookies…
-this website uses cookies…
-X sets cookies…
-this site stores small files on your device…
-cookie settings…
-your privacy matters…
-we and our # partners …
-X and # partners would like…
-by browsing on, you agree to that…
-wir verwenden cookies…
-diese website nutzt cookies…
-diese website verwendet cookies…
-X speichert daten auf ihrem gerät…
-X und # partner …
-nous utilisons des cookies…
-ce site utilise des cookies…
-X et ses # partenaires déposent…
-usamos cookies…
-utilizamos cookies…
-este sitio usa cookies…
-X guarda datos en su dispositivo…
-мы используем файлы cookie…
-сайт использует файлы cookie…
-X сохраняет настройки на вашем устройстве…
-当サイトはクッキーを使用します…
-当サイトではクッキー…
-X?は端末に情報を保存します…
+# Labels of page tools: skip links, sharing, feedback, languages.
+TOOLS = """
+skip to content, skip to main content, skip navigation, zum inhalt springen, aller au contenu, saltar al contenido, ir al contenido, перейти к содержанию, перейти к содержимому, 本文へスキップ, 本文へ移動,
+back to top, nach oben, haut de page, retour en haut, volver arriba, наверх, ページの先頭へ, site map, sitemap, print, print this page, share, tweet this, pin it, copy link, email this, drucken, teilen, imprimer, partager, imprimir, compartir, печать, поделиться, 印刷, 共有,
+accessibility statement, terms of use, terms of service, privacy policy, impressum, datenschutz, agb, mentions légales, aviso legal, privacidad, условия, конфиденциальность, 利用規約, プライバシーポリシー
 """
 
-# Wordings of footers, skip links and page tools.
-FOOTER = r"""
-© #…
-(c) # …
-copyright …
-all rights reserved…
-alle rechte vorbehalten…
-back to top
-nach oben
-haut de page
-retour en haut
-volver arriba
-наверх
-ページの先頭へ
-was this page helpful?…
-war diese seite hilfreich?…
-cette page vous a-t-elle été utile…
-¿te ha sido útil esta página…
-была ли эта страница полезна…
-このページは役に立ちましたか…
-follow X: …
-follow us…
-folgen sie uns…
-suivez-nous…
-síguenos…
-change language…
-sprache wechseln…
-accessibility statement
-terms of use…
-terms of service…
-privacy policy…
-impressum…
-mentions légales…
-aviso legal…
-условия ·…
-利用規約…
-made in the … workshop, # quay lane
-made in the …, # quay lane
-skip to content
-skip to main content
-skip navigation
-zum inhalt springen
-aller au contenu
-saltar al contenido
-ir al contenido
-перейти к содержанию
-перейти к содержимому
-本文へスキップ
-本文へ移動
-powered by …
+# Beginnings of bylines.
+BYLINES = """
+by, written by, posted by, published by, published in, photo, photos, text, words, last updated, von, text von, autor, autorin, veröffentlicht am, par, écrit par, publié le, por, escrito por, publicado, автор, текст, опубликовано, 文, 著者, 執筆, 投稿
 """
 
-# Wordings of bylines, share prompts, newsletter prompts, legal notices and announcements of a site.
-STOCK = r"""
-written by P
-by P
-by P, X desk
-by P, X
-P reports for X
-text: P
-text: P / photos: X archive
-von P
-von P, X
-por P
-por P, X
-par P
-par P, X
-автор: P
-文：P
-文: P
-send this X article to a friend
-send this article to a friend
-share this page…
-share this article…
-liked it? pass it on…
-copy link | print | save for later
-print | share…
-artikel drucken…
-diesen beitrag … teilen
-diesen beitrag teilen
-comparte esta página…
-partager cet article…
-поделиться страницей…
-X?の記事を共有する
-prices named by X are meant without tax and shipping.
-reprints of X texts need written consent…
-X is a trade name of …; other names belong to their owners.
-information on X is given without warranty…
-X haftet nicht für inhalte fremder seiten.
-alle angaben von X ohne gewähr…
-la información de X se ofrece sin garantía.
-prohibida la reproducción sin permiso de X.
-reproduction interdite sans l'accord de X.
-les informations de X sont données sans garantie.
-сведения X приведены без гарантий.
-X?の情報は予告なく変更されます。
-subscribe to the X letter
-subscribe to the X newsletter
-subscribe to our newsletter…
-sign up for our newsletter…
-enter your email address…
-X-rundbrief abonnieren
-newsletter abonnieren…
-ihre e-mail-adresse für neues von X
-suscríbete al boletín…
-recevez la lettre de X
-inscrivez-vous à notre newsletter…
-подпишитесь на рассылку…
-X?のメールマガジンに登録
-our office stays closed until …
-maintenance window #: some features of X are read-only
-vote now: X site of the year…
-free entry to the X open day…
+# Terms of notices on cookies, rights, liability, subscriptions and the like.
+NOTICES = """
+cookie, your consent, your privacy, tracking technologies, on your device, all rights reserved, copyright, ©, without warranty, no warranty, written consent, written permission, terms of use, terms of service, privacy policy, registered office, registered in, company number, trade name, trademark,
+newsletter, subscribe, unsubscribe, email address, e-mail address, your inbox, was this page helpful, was this article helpful, follow us, powered by,
+rundbrief, e-mail-adresse, rechte vorbehalten, ohne gewähr, haftet nicht, keine haftung, nutzungsbedingungen, datenschutzerklärung, handelsregister, abonnieren, war diese seite hilfreich, auf ihrem gerät,
+droits réservés, traceurs, sans garantie, infolettre, lettre d'information, inscrivez-vous, abonnez-vous, adresse e-mail, mentions légales, politique de confidentialité, reproduction interdite, sur votre appareil, cette page vous a-t-elle été utile,
+derechos reservados, sin garantía, boletín, suscríbete, correo electrónico, aviso legal, política de privacidad, prohibida la reproducción, en su dispositivo, te ha sido útil esta página,
+права защищены, без гарантий, рассылк, подпишитесь, политика конфиденциальности, перепечатка, на вашем устройстве, была ли эта страница полезна,
+クッキー, メールマガジン, 無断転載, 著作権, 利用規約, プライバシー, 予告なく変更, 端末に情報を保存, このページは役に立ちましたか
 """
 
-# Error messages.
-ERRORS = r"""
-404
-404 not found
-404 page not found
-403 forbidden
-# forbidden
-# bad gateway
-# service unavailable
-# gateway timeout
-# internal server error
-# not found
-bad gateway
-internal server error
-page not found
-file not found
-not found
-access denied…
-forbidden
-service unavailable
-service temporarily unavailable…
-error #: …
-error #
-error code #…
-error code: #…
-fatal error: …
-database connection failed…
-error establishing a database connection…
-sorry, something went wrong…
-something went wrong…
-an unexpected error …
-an error occurred…
-this content is no longer available…
-this page is no longer available…
-this site can't be reached…
-this page can't be displayed…
-the page you were looking for…
-the page you requested…
-the requested url …
-the requested address …
-the requested page …
-no such page…
-checking your browser…
-verifying you are human…
-we can't find …
-you don't have permission …
-too many requests…
-session expired…
-your session has expired…
-try the search instead…
-request id: …
-please try again later…
-this domain is for sale…
-just a moment…
-seite nicht gefunden…
-die seite wurde nicht gefunden…
-zugriff verweigert…
-interner serverfehler…
-dienst nicht verfügbar…
-es ist ein fehler aufgetreten…
-page introuvable…
-accès refusé…
-erreur interne du serveur…
-erreur #…
-une erreur est survenue…
-página no encontrada…
-acceso denegado…
-error interno del servidor…
-ha ocurrido un error…
-страница не найдена…
-доступ запрещён…
-доступ запрещен…
-внутренняя ошибка сервера…
-произошла ошибка…
-ページが見つかりません…
-アクセスが拒否されました…
-アクセス権がありません…
-サーバーエラー…
-エラーが発生しました…
+# Parts of error messages and of notices that scripts are needed, a language a line. What is missing, and how it fails; together in a short sentence they make a message.
+MISSING = """
+page, url, address, site, website, content, document, file, resource, server, service, link, domain, request, connection, session, database, access, what you were looking for, what you are looking for,
+seite, adresse, inhalt, server, zugriff, dienst, datei, ressource, verbindung, sitzung,
+page, adresse, contenu, serveur, accès, service, fichier, connexion, session,
+página, dirección, contenido, servidor, acceso, servicio, archivo, conexión, sesión, sitio,
+страниц, адрес, сервер, доступ, сайт, содержимо, соединени, сесси,
+ページ, サイト, サーバ, アクセス, コンテンツ, お探し
 """
-
-# Notices that scripts are needed.
-SCRIPTS = r"""
-loading…
-please enable javascript…
-enable javascript …
-javascript is disabled…
-javascript is required…
-javascript must be enabled…
-you need to enable javascript…
-you need to turn on scripts…
-this site needs scripts…
-this site requires javascript…
-this page requires javascript…
-this app works best with javascript…
-your browser does not support javascript…
-bitte aktivieren sie javascript…
-javascript ist deaktiviert…
-diese seite benötigt javascript…
-veuillez activer javascript…
-javascript est désactivé…
-active javascript …
-activa javascript …
-javascript está desactivado…
-este sitio necesita javascript…
-для работы сайта включите javascript…
-включите javascript…
-javascript отключён…
-このページを表示するにはjavascriptを有効にしてください…
-javascriptを有効にしてください…
-javascriptが無効になっています…
+FAILS = """
+not found, doesn't exist, does not exist, never existed, couldn't find, could not find, can't find, cannot find, could not be found, couldn't be found, can't be found, cannot be found, no longer available, not available, unavailable, can't be reached, cannot be reached, can't be displayed, isn't working, is not working,
+denied, forbidden, went wrong, expired, failed, did not answer, timed out, bad gateway, internal server error, has moved, was removed, has been removed, don't have permission, do not have permission, not authorized, not allowed to, for sale,
+nicht gefunden, kein inhalt gefunden, nicht verfügbar, verweigert, existiert nicht, nicht erreichbar, abgelaufen, keine berechtigung, interner serverfehler, fehlgeschlagen,
+introuvable, n'existe, refusé, indisponible, n'est plus disponible, expirée, erreur interne,
+no encontrad, no existe, denegado, no disponible, no se ha encontrado, no se encuentra, error interno, expirado,
+не найден, не существует, запрещ, недоступ, внутренняя ошибка, истек,
+見つかりません, 存在しません, 拒否され, 権限がありません, 権がありません, 利用できません, 表示できません
+"""
+# Messages by themselves.
+MESSAGES = """
+something went wrong, an error occurred, an unexpected error, fatal error, access denied, permission denied, bad gateway, gateway timeout, internal server error, service unavailable, too many requests, session expired, checking your browser, verifying you are human, verify you are human, just a moment, one moment please,
+no such page, loading..., loading…, try again later, try the search, request id, ray id, incident id, error code, error id, page not found, file not found, nothing was found, no content found, return to the home page, go back to the home page,
+fehler aufgetreten, fehlercode, versuchen sie es später, serverfehler, kein inhalt gefunden, einen moment bitte, erreur est survenue, code d'erreur, réessayez plus tard, ha ocurrido un error, código de error, inténtelo más tarde, inténtalo más tarde, произошла ошибка, код ошибки, повторите попытку позже, エラーが発生, サーバーエラー, しばらくしてから
+"""
+SCRIPTS = """
+javascript, java script, scripts, скрипт, スクリプト
+"""
+SWITCHED = """
+enable, turn on, turned on, turn it on, switch on, switched on, switched off, turned off, activate, disabled, needs, need to, requires, required, must be, does not support, doesn't support, works best, blocks, blocked, without,
+aktivieren, aktiviert, einschalten, deaktiviert, ausgeschaltet, benötigt, erforderlich, activer, activez, désactivé, nécessite, requis, activa, active, activar, habilita, desactivado, necesita, requiere, включ, отключ, требу, необходим, 有効, 無効, 必要, オン
+"""
+LOADING = """
+loading, loading..., loading…, please wait, wird geladen, chargement, chargement en cours, cargando, загрузка, 読み込み中
 """
 
 # Filler text.
@@ -359,6 +157,20 @@ def words(text: str) -> frozenset[str]:
     return frozenset(w.strip() for w in text.replace("\n", " ").replace("ok, got it", "ok\x00 got it").split(",") if w.strip()) | ({"ok, got it"} if "ok, got it" in text else frozenset())
 
 
+def automaton(terms: str | dict[str, str]):  # noqa: ANN201 - of an optional library
+    """An automaton over terms; what it finds is the term, or its role where terms are given by roles. A term of two roles counts for the first."""
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for role, text in (terms if isinstance(terms, dict) else {"": terms}).items():
+        for w in words(text):
+            if w not in out:
+                out.add_word(w, role or w)
+    if len(out):
+        out.make_automaton()
+    return out
+
+
 _NAME = r"[^\n.!?。]{1,60}?"
 _PERSON = r"[^\W\d_][\w'’.-]*(?: [^\W\d_][\w'’.-]*){1,3}"
 
