@@ -1,8 +1,9 @@
 """Splitting oversized items at natural boundaries (problem 5).
 
 One regular expression with bounded quantifiers consumes a text from left to right: its alternatives are ordered by the
-strength of the boundary they end at, each greedy up to the budget, and single characters are the last resort. The
-overlap is looked up in the pieces before by array functions, so everything stays in the JVM.
+strength of the boundary they end at, each greedy up to the budget, and single characters are the last resort. The first
+piece has the whole limit, later ones what the overlap leaves. The overlap is looked up in the pieces before by array
+functions, and the pieces tell whether a cut was made inside a stretch without white space; everything stays in the JVM.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ def boundary_pattern(budget: int) -> str:
     """
     half = max(1, budget // 2)
     upto = lambda tail, width: f".{{{min(half, max(1, budget - width))},{max(1, budget - width)}}}{tail}"
-    return "(?s)" + "|".join([
+    return "|".join([
         rf".{{1,{budget}}}\z",
         upto(r"\n(?=#{1,6}[ \t])", 1),
         upto(r"\n\r?\n", 3),
@@ -43,7 +44,21 @@ def split_text(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Colu
     """
     if not 0 <= overlap * 2 < limit:
         raise ValueError("limit must be more than twice overlap")
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.length(text) <= limit, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(boundary_pattern(limit - overlap)), F.lit(0)))
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.length(text) <= limit, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(rf"(?s)\A(?:{boundary_pattern(limit)})|(?:{boundary_pattern(limit - overlap)})"), F.lit(0)))
+
+
+def longest_cut_stretch(fresh: Column) -> Column:
+    """Length of the longest stretch without white space that goes on across a cut between pieces; 0 where all cuts are at white space."""
+    blank = lambda p: F.translate(p, "\t\r\n", "   ")
+
+    def step(state: Column, p: Column) -> Column:
+        head, tail = F.length(F.substring_index(blank(p), " ", 1)), F.length(F.substring_index(blank(p), " ", -1))
+        whole = head == F.length(p)
+        across = F.when(state["open"] > 0, F.when(head > 0, state["open"] + head).otherwise(0)).otherwise(0)
+        # What is open at the end of a piece: all of it where it has no white space, else what follows the last.
+        return F.struct(F.when(whole, state["open"] + head).otherwise(tail).alias("open"), F.greatest(state["longest"], across).alias("longest"))
+
+    return F.aggregate(fresh, F.struct(F.lit(0).alias("open"), F.lit(0).alias("longest")), step, lambda state: state["longest"])
 
 
 def with_overlap(fresh: Column, overlap: int = OVERLAP) -> Column:
@@ -57,13 +72,14 @@ def with_overlap(fresh: Column, overlap: int = OVERLAP) -> Column:
 def split_records(df: DataFrame, id_column: str, text_column: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """Pieces of every text: id, piece_no (from 1), piece, n_pieces and cut_kind.
 
-    cut_kind is null for a text within the limit, ``inside`` when a stretch without white space is itself longer than the
-    limit, else ``boundary``. Defined cases: null and empty texts and null ids give no rows; other columns are ignored,
+    cut_kind is null for a text within the limit, ``inside`` when a cut went through a stretch without white space that is
+    itself longer than the limit, else ``boundary``. Defined cases: null and empty texts and null ids give no rows; other columns are ignored,
     whatever their names; a record given twice gives its pieces twice (drop copies before); an empty table gives no rows.
     """
     rows = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("text <> '' and id is not null")
-    kind = F.when(F.length("text") > limit, F.when(F.col("text").rlike(rf"(?<![^ \t\r\n])[^ \t\r\n]{{{limit + 1}}}"), "inside").otherwise("boundary"))
-    rows = rows.select("id", kind.alias("cut_kind"), split_text(F.col("text"), limit, overlap).alias("fresh"))
+    rows = rows.select("id", split_text(F.col("text"), limit, overlap).alias("fresh"))
+    kind = F.when(F.size("fresh") > 1, F.when(longest_cut_stretch(F.col("fresh")) > limit, "inside").otherwise("boundary"))
+    rows = rows.select("id", "fresh", kind.alias("cut_kind"))
     rows = rows.select("id", "cut_kind", F.size("fresh").alias("n_pieces"), F.posexplode(with_overlap(F.col("fresh"), overlap)).alias("piece_no", "piece"))
     return rows.select(F.col("id").alias(id_column), (F.col("piece_no") + 1).alias("piece_no"), "piece", "n_pieces", "cut_kind")
 

@@ -189,6 +189,15 @@ def test_pieces(spark):
     assert pieces.split_records(df.where("false"), "k", "t").count() == 0
 
 
+def test_first_piece_has_the_whole_limit(spark):
+    texts = ["b" * 18 + " cc dd ee ff", "a" * 15 + " " + "b" * 17 + " c", "a" * 21, "a" * 20 + " b", "ab " * 6 + "x" * 21]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    got = pieces.split_records(df, "k", "t", 20, 5).orderBy("k", "piece_no").collect()
+    assert [r["piece"] for r in got if r["k"] == 0] == ["b" * 18 + " ", "bbbb cc dd ee ff"]
+    # A stretch that fits the limit but not what the overlap leaves must be cut inside; its kind is still ``boundary``.
+    assert {r["k"]: r["cut_kind"] for r in got} == {0: "boundary", 1: "boundary", 2: "inside", 3: "boundary", 4: "inside"}
+
+
 def brute_repeated(docs):
     """doc_id, line_no of repeated lines, each id once."""
     first = {}
