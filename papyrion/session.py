@@ -29,44 +29,90 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
     # Through the cluster's own file system, so that every machine can read it.
-    path = f"{shared_dir(spark)}/papyrion-{uuid.uuid4().hex}/papyrion.zip"
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    folder = f"{shared_dir(spark)}/papyrion-{uuid.uuid4().hex}/package"
+    path = f"{folder}/papyrion.zip"
+    fs, target = file_system(spark, path)
+    out = fs.create(target)
     out.write(data.getvalue())
     out.close()
-    _written.append((spark, path.rsplit("/", 1)[0]))
+    _written.append((spark, folder))
     context.addPyFile(path)
     context._papyrion_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests, laptops) one of our own."""
+    """The folder named by spark.checkpoint.dir, which all machines share.
+
+    Only where it is unset on one machine (tests, laptops) a folder of our own is made; on a cluster that would be
+    another folder on each machine, so it is refused.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         path = "file://" + tempfile.mkdtemp(prefix="papyrion-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, which goes with ``release`` or when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/papyrion-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes ``df`` as a table into the shared folder and reads it again.
 
     The written table survives the loss of executors, and unlike ``checkpoint()`` the plan runs once.
-    The files go when the driver's Python ends.
+    The files go with ``release`` or when the driver's Python ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/papyrion-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_system(spark: SparkSession, path: str):  # noqa: ANN201 - objects of the JVM
+    """The Hadoop file system that holds ``path``, and the path as it knows it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def write_marker(spark: SparkSession, path: str) -> None:
+    """An empty file, made in one step: what it stands for is complete."""
+    fs, target = file_system(spark, path)
+    fs.create(target, True).close()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders right below ``path``, in order; none where it doesn't exist."""
+    fs, target = file_system(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(target)) if fs.exists(target) else []
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all that was written on the way to results, once the results were read or written elsewhere.
+
+    A long session calls it between queries; DataFrames that were made before can't be read any more.
+    """
+    kept = []
+    for session, path in _written:
+        if session is not spark or path.endswith("/package"):
+            kept.append((session, path))
+            continue
+        fs, target = file_system(spark, path)
+        fs.delete(target, True)
+    _written[:] = kept
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
+            fs, target = file_system(spark, path)
+            fs.delete(target, True)
         except Exception:  # noqa: BLE001 - the session may be gone already
             return
