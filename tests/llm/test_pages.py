@@ -215,32 +215,42 @@ def brute_repeated(docs):
     return {(i, n) for i, (s, t) in first.items() for n, line in enumerate(t.split("\n"), 1) if any(c.isalnum() for c in line) and (s, same(line)) in often}
 
 
-def test_site_lines_incrementally(spark):
+def test_site_lines_incrementally(spark, tmp_path):
     random.seed(6)
     stock = ["Share this", "(c) Site", "by  Ann", "Rare A", "Rare B", "---"]
     docs = [(random.choice(["hot"] * 4 + ["b", "c", None]), k, random.choice([None, "", "\n".join(random.sample([*stock, f"own {k}", "SHARE  this\r"], 4))])) for k in range(160)]
     docs += docs[:5] + [("hot", 1000 + k, f"only own {k}") for k in range(60)]
     schema = "site string, doc_id long, text string"
     frame = lambda d: spark.createDataFrame(d, schema).withColumn("h1", F.lit("clash")).withColumn("line", F.lit(1))
-    whole, _ = sitelines.SiteLines().merge(frame(docs))
+    whole = sitelines.SiteLines(spark, f"file://{tmp_path}/whole")
+    whole.merge(frame(docs))
     assert {tuple(r) for r in whole.places().collect()} == brute_repeated(docs)
-    state, done = sitelines.SiteLines(), 0
+    state, done = sitelines.SiteLines(spark, f"file://{tmp_path}/state"), 0
     before: set = set()
     for cut in (40, 120, len(docs)):
-        state, rebuild = state.merge(frame(docs[done:cut]))
+        rebuild = {r["doc_id"] for r in state.merge(frame(docs[done:cut])).collect()}
         done = cut
         places = {tuple(r) for r in state.places().collect()}
         assert places == brute_repeated(docs[:cut])
-        # A document whose places changed is among those to be rebuilt.
-        assert {i for i, _ in places ^ before} <= {r["doc_id"] for r in rebuild.collect()}
+        # A document whose places changed is among those to be rebuilt, and no other is.
+        assert rebuild == {i for i, _ in places ^ before}
         before = places
+        if cut == 120:
+            state.compact()
+            assert {tuple(r) for r in state.places().collect()} == places
+    assert state.merge(frame(docs[:50])).count() == 0 and {tuple(r) for r in state.places().collect()} == before
+    # A state is found again by its path, and a delta that broke off before its marker doesn't count.
+    spark.range(3).write.parquet(f"file://{tmp_path}/state/lines/delta=5/bucket=0")
+    assert {tuple(r) for r in sitelines.SiteLines(spark, f"file://{tmp_path}/state").places().collect()} == before
     clean = {r["doc_id"]: r["text"] for r in sitelines.without_lines(frame(docs[:40]).dropDuplicates(["doc_id"]), state.places()).collect()}
     texts = {i: t for _, i, t in reversed(docs[:40])}
     for i, t in texts.items():
         gone = {n for d, n in before if d == i}
         assert clean[i] == (t if t is None else "\n".join(r for n, r in enumerate(t.split("\n"), 1) if n not in gone))
-    empty, rebuild = sitelines.SiteLines().merge(frame(docs).where("false"))
-    assert empty.places().count() == rebuild.count() == 0
+    empty = sitelines.SiteLines(spark, f"file://{tmp_path}/empty")
+    assert empty.places().count() == 0 and empty.merge(frame(docs).where("false")).count() == empty.places().count() == 0
+    # Few documents of a new site touch nothing of the others.
+    assert {r["doc_id"] for r in state.merge(frame([("new", 5000 + k, "Share this") for k in range(6)])).collect()} == {5000 + k for k in range(6)}
 
 
 def test_sites(spark):
