@@ -27,6 +27,8 @@ LOOKALIKES = {
 ACCENTED = {"Ë": "Ё", "ë": "ё", "Ï": "ΪЇ", "ï": "ї", "È": "Ѐ", "è": "ѐ", "Á": "Ά", "É": "Έ", "Í": "Ί", "Ó": "Ό", "Ý": "Ύ", "Ÿ": "Ϋ", "ó": "ό", "á": "ά"}
 # Letters joined into one character.
 JOINED = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ſt", "ﬆ": "st", "Ĳ": "IJ", "ĳ": "ij", "Ǉ": "LJ", "ǈ": "Lj", "ǉ": "lj", "Ǌ": "NJ", "ǋ": "Nj", "ǌ": "nj", "Ǳ": "DZ", "ǲ": "Dz", "ǳ": "dz", "ﬓ": "մն", "ﬔ": "մե", "ﬕ": "մի", "ﬖ": "վն", "ﬗ": "մխ"}
+#: Roman numerals are drawn as letters; their compatibility forms say as which.
+JOINED |= {ch: plain for ch in map(chr, range(0x2160, 0x2180)) if len(plain := unicodedata.normalize("NFKC", ch)) > 1}
 # No-break, three-per-em, four-per-em, figure, thin, narrow no-break and medium mathematical space.
 SPACES = "\u00a0\u2004\u2005\u2007\u2009\u202f\u205f"
 
@@ -46,6 +48,7 @@ def _width_forms() -> dict[str, str]:
 def _single() -> dict[str, str]:
     table = {other: base for base, others in {**LOOKALIKES, **ACCENTED}.items() for other in others}
     table |= {s: " " for s in SPACES}
+    table |= {ch: plain for ch in map(chr, range(0x2160, 0x2180)) if len(plain := unicodedata.normalize("NFKC", ch)) == 1}
     for wide, plain in _width_forms().items():
         table[wide] = table.get(plain, plain)
     return table
@@ -57,7 +60,7 @@ _ABOVE, _BELOW = r"[\u0300-\u0314\u033D-\u0344\u0346\u034A-\u034C\u0350-\u0352\u
 
 
 #: Blocks that hold mapped, joined or combining characters: a quick test before the mapping.
-_BLOCKS = r"[ ĲĳǄ-ǳɐ-ͯͰ-֏Ꭰ-᏿ -⁯K぀-ゟﬀ-ﬗ＀-￯]"
+_BLOCKS = r"[ ĲĳǄ-ǳɐ-ͯͰ-֏Ꭰ-᏿ -⁯KⅠ-ⅿ぀-ゟﬀ-ﬗ＀-￯]"
 
 
 def lookalike_form(df: DataFrame, value: str, name: str) -> DataFrame:
@@ -70,7 +73,7 @@ def lookalike_form(df: DataFrame, value: str, name: str) -> DataFrame:
     joined = v
     for one, many in JOINED.items():
         joined = F.replace(joined, F.lit(one), F.lit(many))
-    df = df.withColumn(name, F.when(touched & v.rlike(r"[ĲĳǄ-ǳﬀ-ﬗ]"), joined).otherwise(v))
+    df = df.withColumn(name, F.when(touched & v.rlike(r"[ĲĳǄ-ǳⅠ-ⅿﬀ-ﬗ]"), joined).otherwise(v))
     df = df.withColumn(name, F.when(touched, F.translate(n, "".join(_FROM), "".join(_TO))).otherwise(n))
     return df.withColumn(name, F.when(touched & n.rlike(_ABOVE + _BELOW), F.regexp_replace(n, f"({_ABOVE}+)({_BELOW}+)", "$2$1")).otherwise(n)).drop("__touched")
 
@@ -158,7 +161,26 @@ def lookalike_pairs(values: DataFrame) -> DataFrame:
     return both.where("a <> b").select("field_name", F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id")).distinct()
 
 
-def p1_found(spark, sf_dir: str) -> DataFrame:
+def _fields(spark, sf_dir: str) -> DataFrame:
+    """field_name, record_id and value of both fields of all captures."""
     captures = read_table(spark, sf_dir, "captures")
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in ("title", "markdown")])).alias("f")
-    return lookalike_pairs(captures.select(F.col("capture_id").alias("record_id"), fields).select("record_id", "f.*"))
+    return captures.select(F.col("capture_id").alias("record_id"), fields).select("record_id", "f.*")
+
+
+def p1_found(spark, sf_dir: str) -> DataFrame:
+    return lookalike_pairs(_fields(spark, sf_dir))
+
+
+def p1_classes(spark, sf_dir: str) -> DataFrame:
+    """One row for each class of different values that look the same: its canonical form, its number of different values and of captures.
+
+    Unlike the pairs, which grow with the square of a class, the classes grow with the captures.
+    """
+    classes = lookalike_classes(_fields(spark, sf_dir)).groupBy("field_name", "class_form")
+    return classes.agg(F.countDistinct("variant").alias("n_variants"), F.countDistinct("record_id").alias("n_captures"))
+
+
+def p1_forms(spark, sf_dir: str) -> DataFrame:
+    """capture_id, field_name and form: both fields of every capture in one consistent form, each capture and value once."""
+    return unify(_fields(spark, sf_dir).dropDuplicates()).select(F.col("record_id").alias("capture_id"), "field_name", "form")

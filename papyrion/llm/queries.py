@@ -6,6 +6,8 @@ from papyrion.llm import abuse, body, bpe, copies, lookalikes, packing, pieces,
 
 QUERIES = {
     "p1_found": lookalikes.p1_found,
+    "p1_classes": lookalikes.p1_classes,
+    "p1_forms": lookalikes.p1_forms,
     "p2_found": copies.p2_found,
     "p2_groups": copies.p2_groups,
     "p3_found": body.p3_found,

@@ -44,6 +44,26 @@ def test_signature_of_equal_values(spark):
     assert lookalikes.unify(df).groupBy(F.expr("floor(record_id / 10)")).agg(F.countDistinct("form").alias("n")).where("n > 1").count() == 0
 
 
+def test_signature_of_all_decompositions(spark):
+    """No two values that the collation holds equal differ in their signature: every canonical decomposition, and every character that isn't drawn, by itself and before an accent."""
+    assigned = [chr(c) for c in range(0x20, 0x20000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    pairs = [(f"a{c}z", f"a{d}z") for c in assigned if (d := unicodedata.normalize("NFD", c)) != c]
+    undrawn = [c for c in assigned if unicodedata.category(c) in ("Cf", "Mn", "Me", "Cc", "Lm")]
+    pairs += [(f"a{c}b", "ab") for c in undrawn] + [(f"e{c}\u0301b", "\u00e9b") for c in undrawn] + [(f"a{c}\u0338b", f"a{unicodedata.normalize('NFC', c + chr(0x338))}b") for c in assigned if c < "\u3000"]
+    df = spark.createDataFrame([(k, u, v) for k, (u, v) in enumerate(pairs)], "k long, u string, v string")
+    both = df.selectExpr("k", "u as value").unionByName(df.selectExpr("k", "v as value"))
+    signed = lookalikes.with_signature(lookalikes.lookalike_form(both, "value", "mapped"), "mapped", "sig").selectExpr("k", "sig", "collate(mapped, 'UNICODE') form")
+    by = signed.groupBy("k").agg(F.countDistinct("form").alias("forms"), F.countDistinct("sig").alias("sigs"))
+    assert by.where("forms = 1").count() > 2000 and by.where("forms = 1 and sigs > 1").count() == 0
+
+
+def test_roman_numerals_and_classes(spark):
+    data = [("t", 1, "Part \u2163"), ("t", 2, "Part IV"), ("t", 3, "Part IV"), ("t", 4, "Part iv"), ("t", 5, "Part \u2165")]
+    df = spark.createDataFrame(data, VALUES)
+    assert rows(lookalikes.lookalike_pairs(df)) == [("t", 1, 2), ("t", 1, 3)]
+    assert rows(lookalikes.unify(df).select("record_id", "form")) == [(1, "Part IV"), (2, "Part IV"), (3, "Part IV"), (4, "Part iv"), (5, "Part VI")]
+
+
 def test_lookalike_pairs_by_brute_force(spark):
     random.seed(1)
     spell = lambda t: random.choice([t, t, unicodedata.normalize("NFD", t), t.replace("a", "а").replace("O", "Ο"), t.replace("fi", "ﬁ"), t.replace(" ", " "), t[:2] + "​" + t[2:], "".join(chr(ord(c) + 0xFEE0) if c.isascii() and c.isalnum() else c for c in t), t.upper(), t.replace("é", "e"), t + "²", t.replace("o", "р")])
