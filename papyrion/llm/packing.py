@@ -22,17 +22,23 @@ from papyrion.session import materialize, read_table
 
 #: Tokens a container holds.
 CAPACITY = 2048
-#: Parts that the documents of one length are ranked in, so that a frequent length isn't one task.
-RANK_PARTS = 64
+#: Items of one length are ranked in parts of about so many, so that a frequent length isn't one task.
+PART_ITEMS = 100_000
 
 
-def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Packing patterns (count, lengths) that hold ``histogram`` (length -> number of items)."""
+def shortest_pack_first(histogram: dict[int, int], capacity: int, fill: bool = False) -> list[tuple[int, tuple[int, ...]]]:
+    """Packing patterns (count, lengths) that hold ``histogram`` (length -> number of items).
+
+    Where no pack has room, a new one begins with one item and leaves its space to shorter lengths or, with ``fill``, takes as many
+    items of the length as it holds.
+    """
     open_packs: dict[int, list[tuple[int, tuple[int, ...]]]] = defaultdict(list)
     done: list[tuple[int, tuple[int, ...]]] = []
     spaces: list[int] = []  # most space first: the shortest packs
 
     def keep(count: int, pattern: tuple[int, ...], space: int) -> None:
+        if count == 0:
+            return
         if space == 0:
             done.append((count, pattern))
             return
@@ -46,8 +52,11 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
         while left:
             space = -spaces[0] if spaces else 0
             if space < length:
-                # No open pack has room: as many new ones as are left, each filled in the next rounds by shorter items.
-                opened.append((left, (length,), capacity - length))
+                # No open pack has room.
+                each = capacity // length if fill else 1
+                opened.append((left // each, (length,) * each, capacity - length * each))
+                if left % each:
+                    opened.append((1, (length,) * (left % each), capacity - length * (left % each)))
                 break
             count, pattern = open_packs[space].pop()
             if not open_packs[space]:
@@ -74,7 +83,7 @@ def merge_open_packs(packs: list[tuple[int, tuple[int, ...]]], capacity: int) ->
         for count, pattern in packs:
             by_total[sum(pattern)].append((count, pattern))
         merged = []
-        for count, totals in shortest_pack_first({t: sum(c for c, _ in v) for t, v in by_total.items()}, capacity):
+        for count, totals in shortest_pack_first({t: sum(c for c, _ in v) for t, v in by_total.items()}, capacity, fill=True):
             while count:
                 # As many containers at once as the last pattern of each total has left.
                 used: dict[int, int] = defaultdict(int)
@@ -119,17 +128,24 @@ def token_pieces(documents: DataFrame, id_column: str, text_column: str, capacit
     return documents.select(id_column, text_column).mapInArrow(pieces, f"doc_id {kind}, part_no long, first_token long, n_tokens long")
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEMS) -> DataFrame:
     """Adds container_id to pieces (doc_id, part_no, first_token, n_tokens): no container holds more than ``capacity`` tokens.
 
+    The driver holds a row for each length and for each ``part_items`` items; workers get the packing slots, whose number
+    depends on the lengths and not on the items (each length splits at most one pattern and begins one).
+
     Defined cases: a piece without tokens takes no room and has a null container; equal and repeated rows each take room;
     an empty table gives no rows; other columns are dropped.
     """
     columns = ["doc_id", "part_no", "first_token", "n_tokens"]
-    pieces = materialize(pieces.select(*columns).withColumn("salt", F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(RANK_PARTS))))
-    # At most capacity x RANK_PARTS rows, whatever the corpus.
+    spark = pieces.sparkSession
+    pieces = materialize(pieces.select(*columns))
+    # As many parts for a length as its items need: at most capacity + items / part_items rows in all.
+    parts = {n: -(-count // part_items) for n, count in pieces.where("n_tokens > 0").groupBy("n_tokens").count().collect()}
+    sizes = spark.createDataFrame(sorted(parts.items()), "n_tokens long, n_parts long")
+    pieces = pieces.join(F.broadcast(sizes), "n_tokens", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", "part_no"), F.col("n_parts")), F.lit(0))).drop("n_parts")
     counts = pieces.where("n_tokens > 0").groupBy("n_tokens", "salt").count().collect()
-    by_length: dict[int, list[int]] = defaultdict(lambda: [0] * (RANK_PARTS + 1))
+    by_length: dict[int, np.ndarray] = {n: np.zeros(k + 1, dtype=np.int64) for n, k in parts.items()}
     for n_tokens, salt, count in counts:
         by_length[n_tokens][salt + 1] = count
     before = {n: np.cumsum(v) for n, v in by_length.items()}
@@ -145,7 +161,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         base += count
     found = {n: (np.array([r for r, _ in v], dtype=np.int64), np.array([c for _, c in v], dtype=np.int64)) for n, v in slots.items()}
     offsets = {n: v[:-1] for n, v in before.items()}
-    shared = pieces.sparkSession.sparkContext.broadcast((found, offsets))
+    shared = spark.sparkContext.broadcast((found, offsets))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots_of, offset_of = shared.value
@@ -162,7 +178,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     rank = F.expr("row_number() over (partition by n_tokens, salt order by doc_id, part_no)").cast("long")
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    return pieces.withColumn("rank", rank).mapInArrow(place, f"doc_id {kind}, part_no long, first_token long, n_tokens long, container_id long")
+    ranked = pieces.select(*columns, "salt").withColumn("rank", rank)
+    return ranked.mapInArrow(place, f"doc_id {kind}, part_no long, first_token long, n_tokens long, container_id long")
 
 
 def p9_containers(spark, sf_dir: str) -> DataFrame:

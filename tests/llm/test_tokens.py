@@ -79,3 +79,26 @@ def test_containers(spark, exact):
         p.sort()
         assert sum(n for _, _, n in p) == size[i] and (len(p) == 1 or size[i] > 2048) and [f for _, f, _ in p] == [2048 * k for k in range(len(p))]
     assert len(parts) == len(texts) and packing.pack(pieces.where("false")).count() == 0
+
+
+def test_slots_do_not_grow_with_the_items():
+    """What workers get depends on the lengths alone: the same patterns hold a thousand or a billion times the items."""
+    random.seed(9)
+    sizes = []
+    for scale in (10, 10_000, 10_000_000):
+        h = {n: random.randint(1, 1000) * scale for n in range(1, 2049)}
+        opened = packing.shortest_pack_first(h, 2048)
+        assert len(opened) <= 2 * len(h)
+        sizes.append(sum(len(set(p)) for _, p in packing.merge_open_packs(opened, 2048)))
+    assert max(sizes) <= 40 * 2048
+
+
+def test_frequent_lengths_are_ranked_in_parts(spark):
+    data = [(k, 1, 0, 2048 if k % 3 else 700) for k in range(900)] + [(1000, 1, 0, 0)]
+    df = spark.createDataFrame(data, "doc_id long, part_no long, first_token long, n_tokens long")
+    got = packing.pack(df, 2048, part_items=50).collect()
+    load = Counter()
+    for r in got:
+        if r["n_tokens"]:
+            load[r["container_id"]] += r["n_tokens"]
+    assert len(got) == 901 and max(load.values()) <= 2048 and len(load) == 600 + 150 and [r for r in got if not r["n_tokens"]][0]["container_id"] is None
