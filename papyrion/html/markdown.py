@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 from urllib.parse import urljoin, urlsplit
 
 from papyrion.html.tree import BLOCK, Node, clean, parse
@@ -11,8 +13,19 @@ REMOVED = frozenset({"script", "style", "noscript", "svg"})
 _HEADINGS = {f"h{n}": n for n in range(1, 7)}
 _ESCAPES = re.compile(r"([\\`*_\[\]])")
 _LINE_START = re.compile(r"^(\s*)([-+>#]|\d+\.)(?=\s|$)", re.M)
-#: Blocks that make a table a layout when they stand in a cell.
-CELL_BLOCKS = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section ul table".split())
+# Elements that make a headerless table a layout when they stand in a cell.
+CELL_BLOCKS = frozenset({"form", "div", "ul", "ol", "pre", "hr", "h1", "h2", "h3", "h4", "h5", "h6"})
+
+
+@dataclass(frozen=True)
+class Style:
+    """The marks that a converter writes."""
+
+    rule: str = "---"
+    bullet: str = "-"
+    emphasis: str = "*"
+    strong: str = "**"
+    fence: str = "`"
 
 
 def resolve(url: str, base: str | None) -> str:
@@ -56,11 +69,15 @@ def _cells(row: Node) -> list[Node]:
     return [c for c in row.elements() if c.tag in ("td", "th")]
 
 
+#: Converts an element, given its Markdown inside; None leaves it to the converter's own rule.
+Override = Callable[[Node, str], str | None]
+
+
 class Converter:
-    """Converts one tree; ``base`` resolves relative addresses."""
+    """Converts one tree; ``base`` resolves relative addresses, ``overrides`` (by tag) come before the own rules."""
 
-    def __init__(self, base: str | None = None) -> None:
-        self.base = base
+    def __init__(self, base: str | None = None, overrides: dict[str, Override] | None = None, style: Style = Style()) -> None:  # noqa: B008 - it is frozen
+        self.base, self.overrides, self.style = base, overrides or {}, style
 
     def convert(self, root: Node) -> str:
         return normalize(self.blocks(root))
@@ -95,6 +112,8 @@ class Converter:
 
     def block(self, node: Node) -> str:
         tag = node.tag
+        if tag in self.overrides and (text := self.overrides[tag](node, self.blocks(node))) is not None:
+            return text
         if tag in REMOVED:
             return ""
         if node.get("role") in ("grid", "table") and tag != "table":
@@ -105,7 +124,7 @@ class Converter:
             return f"{'#' * _HEADINGS[tag]} {text}" if text else ""
         match tag:
             case "hr":
-                return "---"
+                return self.style.rule
             case "blockquote":
                 inner = self.blocks(node).strip()
                 return "\n".join(f"> {line}".rstrip() if line else ">" for line in inner.split("\n")) if inner else ""
@@ -131,10 +150,10 @@ class Converter:
         start = int(node.get("start")) if node.get("start").isdigit() else 1
         out = []
         for k, item in enumerate(items):
-            marker = f"{start + k}.  " if node.tag == "ol" else "-   "
+            marker = f"{start + k}.  " if node.tag == "ol" else f"{self.style.bullet}   "
             body = self.blocks(item).strip()
             # A nested list follows its text without a blank line.
-            body = re.sub(r"\n\n(?=(?:-   |\d+\.  ))", "\n", body)
+            body = re.sub(rf"\n\n(?=(?:{re.escape(self.style.bullet)}   |\d+\.  ))", "\n", body)
             lines = body.split("\n")
             out.append(marker + ("\n" + " " * 4).join(lines).replace("\n    \n", "\n\n"))
         for child in node.elements():
@@ -150,8 +169,8 @@ class Converter:
         if not text.strip():
             return ""
         language = re.search(r"(?:language|lang)-([\w+#-]+)", (code or node).get("class"))
-        longest = max((len(m[0]) for m in re.finditer(r"^`{3,}", text, re.M)), default=2)
-        fence = "`" * max(3, longest + 1)
+        longest = max((len(m[0]) for m in re.finditer(f"^{re.escape(self.style.fence)}{{3,}}", text, re.M)), default=2)
+        fence = self.style.fence * max(3, longest + 1)
         return f"{fence}{language[1] if language else ''}\n{text.lstrip(chr(10))}\n{fence}"
 
     def grid(self, node: Node) -> str | None:
@@ -197,15 +216,25 @@ class Converter:
         return clean(re.sub(r"\s*\n\s*", " ", self.blocks(node))).replace("|", "\\|")
 
     def layout_row(self, row: Node) -> str:
-        parts = [t for t in (self.blocks(c).strip() for c in _cells(row)) if t]
+        """A layout row: cells of inline content stand on one line, a cell that holds a block is a block."""
         out: list[str] = []
-        for t in parts:
-            if out and "\n" not in t and "\n" not in out[-1]:
-                out[-1] += " " + t
+        joins = False
+        for c in _cells(row):
+            inline = not any(self.is_block(x) for x in c.elements())
+            # A cell's text begins no line of its own, so nothing in it is escaped as a line's start.
+            text = (self.unescaped_start(self.inline(c)) if inline else self.blocks(c)).strip()
+            if not text:
+                continue
+            if inline and joins:
+                out[-1] += " " + text
             else:
-                out.append(t)
+                out.append(text)
+            joins = inline
         return "\n\n".join(out)
 
+    def unescaped_start(self, text: str) -> str:
+        return re.sub(r"^\\([-+>#])(?=\s|$)|^(\d+)\\\.(?=\s|$)", lambda m: m[1] or f"{m[2]}.", text)
+
     # Inline content.
 
     def inline(self, node: Node) -> str:
@@ -222,6 +251,8 @@ class Converter:
 
     def span(self, node: Node) -> str:
         tag = node.tag
+        if tag in self.overrides and (text := self.overrides[tag](node, self.inline_run_raw(node))) is not None:
+            return text
         if tag in REMOVED:
             return ""
         if tag == "br":
@@ -247,7 +278,7 @@ class Converter:
             has_text = bool(clean(node.text(frozenset({*REMOVED}))))
             has_image = any(n.tag == "img" and n.get("alt").strip() for n in node.walk())
             return f"[{clean(inner) if not has_image else inner.strip()}]({href}{self.titled(node)})" if has_text or has_image else ""
-        mark = {"em": "*", "i": "*", "strong": "**", "b": "**", "del": "~~", "s": "~~", "strike": "~~", "mark": "=="}.get(tag)
+        mark = {"em": self.style.emphasis, "i": self.style.emphasis, "strong": self.style.strong, "b": self.style.strong, "del": "~~", "s": "~~", "strike": "~~", "mark": "=="}.get(tag)
         if mark and inner.strip():
             lead, trail = inner[: len(inner) - len(inner.lstrip())], inner[len(inner.rstrip()) :]
             return f"{lead}{mark}{inner.strip()}{mark}{trail}"
@@ -261,8 +292,9 @@ class Converter:
         return f' "{title}"' if title else ""
 
 
-def html_to_markdown(html: str, base: str | None = None) -> str:
-    return Converter(base).convert(parse(html))
+def html_to_markdown(html: str | None, base: str | None = None, overrides: dict[str, Override] | None = None, style: Style = Style()) -> str:  # noqa: B008 - it is frozen
+    """A fragment's Markdown; null and empty give an empty text."""
+    return Converter(base, overrides, style).convert(parse(html)) if html else ""
 
 
 def drop_lead_heading(markdown: str, title: str) -> str:

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from papyrion.html.markdown import drop_lead_heading, html_to_markdown
+from papyrion.html.markdown import Style, drop_lead_heading, html_to_markdown
 from papyrion.html.page import Page, best_root, confluence_space, extract, page_context, resolve_adapter, same_author_replies
 from papyrion.html.tree import parse
 from papyrion.operators.capture import capture_pages
@@ -15,7 +15,7 @@ from papyrion.operators.capture import capture_pages
     ("<table><tr><th>A<th>B<tr><td>1|2<td>x</table>", "| A | B |\n| --- | --- |\n| 1\\|2 | x |"),
     ("<table><tr><td>left<td>right</table>", "left right"),
     ("<table role=presentation><tr><th>a<tr><th>b</table>", "a\n\nb"),
-    ("<table><tr><td><div>block</div><td>y<tr><td>1<td>2</table>", "block y\n\n1 2"),
+    ("<table><tr><td><div>block</div><td>y<tr><td>1<td>2</table>", "block\n\ny\n\n1 2"),
     ("<pre>a ``` b\n```\nc</pre>", "````\na ``` b\n```\nc\n````"),
     ("<pre><code class='language-js'>x</code></pre>", "```js\nx\n```"),
     ("<dl><dt>T<dd>D</dl>", "**T**\n\n: D"),
@@ -66,6 +66,31 @@ def test_platforms():
     assert page_context("nothing") is None and same_author_replies("/Ann/status/2 /ann/status/1 /bob/status/3", "ann", "1") == ["2"]
 
 
+def test_forms_and_asides_stay_in_full_pages():
+    got = extract(f"<body><form><p>{LONG}</p></form><aside>A callout.</aside><object>o</object><embed></body>", "https://s.test/", "full")
+    assert got["markdown"].startswith("Some long text") and got["markdown"].endswith("A callout.")
+
+
+def test_overrides_and_style():
+    assert html_to_markdown(None) == html_to_markdown("") == ""
+    assert html_to_markdown("<p>x <u>y</u></p><details><summary>s</summary>t</details>", overrides={"u": lambda node, inner: f"_{inner}_", "details": lambda node, inner: f"[{inner}]", "p": lambda node, inner: None}) == "x _y_\n\n[s\n\nt]"
+    assert html_to_markdown("<ul><li>a <em>b</em></ul><hr>", style=Style(rule="***", bullet="*", emphasis="_")) == "*   a _b_\n\n***"
+
+
+def test_registered_adapters_reach_the_workers(spark):
+    from papyrion.html.page import ADAPTERS, Adapter, register_adapter
+
+    mine = Adapter("mine", lambda page: page.host == "mine.test", ["#own"], lambda page, root: "My title")
+    register_adapter(mine)
+    try:
+        df = spark.createDataFrame([("https://mine.test/1", f"<div id=own><p>{LONG}</p></div><p>else</p>"), ("https://t.sharepoint.com/1", f"<div data-automation-id=Canvas><h1>H</h1><p>{LONG}</div>")], "url string, html string")
+        got = {r["url"]: r for r in capture_pages(df, overrides={"p": lambda node, inner: f"<<{inner}>>"}).collect()}
+    finally:
+        ADAPTERS.remove(mine)
+    assert got["https://mine.test/1"]["mode"] == "mine" and got["https://mine.test/1"]["title"] == "My title" and "else" not in got["https://mine.test/1"]["markdown"]
+    assert got["https://mine.test/1"]["markdown"].startswith("<<Some") and got["https://t.sharepoint.com/1"]["mode"] == "sharepoint"
+
+
 def test_lead_heading():
     assert drop_lead_heading("![i](u)\n\n# A  B\n\nx", "a b") == "![i](u)\n\n\nx" and drop_lead_heading("x\n# A", "A") == "x\n# A"
 
