@@ -145,6 +145,8 @@ def copy_groups(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = records.select("record_set", "record_id", "canonical").where("canonical is not null and record_id is not null")
     rows = rows.withColumn("digest", F.unhex(F.sha2(F.concat_ws("\u0001", "record_set", "canonical"), 256)))
     keys = ["digest", "record_id"]
+    # Written once, since the range partitioning samples its input: the canonical forms would be made twice.
+    rows = materialize(rows)
     runs = materialize(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_scan, _RUNS))
     ends, copies = runs.where("run_rows is not null"), runs.where("copy_id is not null")
     # Only runs at a partition's border can have several parts, so these are no more than partitions.
