@@ -7,7 +7,7 @@ import unicodedata
 from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -79,3 +79,19 @@ def selector_refs(*templates: Column) -> Column:
     """The distinct selectors that templates refer to, in order."""
     every = F.concat_ws("\n", *templates)
     return F.array_distinct(F.transform(F.regexp_extract_all(every, F.lit(r"\{\{\s*selector:([^|{}]+)"), F.lit(1)), F.trim))
+
+
+def variable_listing(values: Column) -> Column:
+    """The variables that have a value, as (key, value) in the order of their keys."""
+    filled = F.filter(F.map_entries(values), lambda e: F.coalesce(e["value"], F.lit("")) != "")
+    return F.array_sort(filled)
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Makes the engine's functions known to SQL: render_template(template, variables), html_to_markdown(html), and the table functions markdown_links(text), text_urls(text) and workbook_cells(data)."""
+    from papyrion.functions import tables
+
+    spark.udf.register("render_template", render_template)
+    spark.udf.register("html_to_markdown", tables.html_to_markdown)
+    for name, function in (("markdown_links", tables.MarkdownLinks), ("text_urls", tables.TextUrls), ("workbook_cells", tables.WorkbookCells)):
+        spark.udtf.register(name, function)

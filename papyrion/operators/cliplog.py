@@ -60,6 +60,22 @@ def delete_clips(stored: DataFrame, ids: DataFrame) -> DataFrame:
     return stored.join(ids.select("clip_id").distinct(), "clip_id", "left_anti")
 
 
+def get_clips(stored: DataFrame, ids: DataFrame) -> DataFrame:
+    """The clips of some ids."""
+    return stored.join(ids.select("clip_id").distinct(), "clip_id", "left_semi")
+
+
+def clear_clips(stored: DataFrame) -> DataFrame:
+    """The log without clips."""
+    return stored.limit(0)
+
+
+def new_clip_id(url: Column, clipped: Column) -> Column:
+    """An id for a new clip: its time in milliseconds and six characters of a hash of time and address, so that a task that is run again gives the same."""
+    millis = F.unix_millis(clipped).cast("string")
+    return F.concat(F.lit("clip-"), millis, F.lit("-"), F.left(F.sha2(F.concat_ws("\n", millis, url), 256), F.lit(6)))
+
+
 def clip_types(clips: DataFrame) -> DataFrame:
     return clips.select("clip_type").where("clip_type <> ''").distinct().orderBy("clip_type")
 

@@ -140,3 +140,40 @@ def refreshable(collections: DataFrame) -> DataFrame:
 def catalog(collections: DataFrame, manifests: DataFrame) -> DataFrame:
     """One row for each collection with a manifest (collection_id, n_pages, synced_at): what the catalog lists."""
     return collections.join(manifests, "collection_id").select("collection_id", F.col("collection_name").alias("name"), F.col("collection_type").alias("type"), collection_path().alias("folder"), F.coalesce(F.nullif("source_url", F.lit("")), F.nullif("web_url", F.lit("")), F.lit("")).alias("source_url"), "n_pages", "synced_at")
+
+
+def learn_sources(collections: DataFrame, found: DataFrame) -> DataFrame:
+    """Collections whose source mode is ``auto`` with the mode and address that a discovery found (collection_id, found_mode, found_url); others stay."""
+    joined = collections.join(found.select("collection_id", "found_mode", "found_url").dropDuplicates(["collection_id"]), "collection_id", "left")
+    learns = (F.col("source_mode") == "auto") & F.coalesce(F.col("found_mode") != "", F.lit(False))
+    changed = {"source_mode": F.when(learns, F.col("found_mode")).otherwise(F.col("source_mode")), "source_url": F.when(learns, F.coalesce(F.nullif("found_url", F.lit("")), F.col("source_url"))).otherwise(F.col("source_url"))}
+    return joined.select([changed[c].alias(c) if c in changed else F.col(c) for c in collections.columns])
+
+
+def remove_collections(ids: DataFrame, collections: DataFrame, inventories: DataFrame, health: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Definitions, inventories and health without the collections of ``ids`` (collection_id). Library files aren't touched."""
+    gone = ids.select("collection_id").distinct()
+    return tuple(df.join(gone, "collection_id", "left_anti") for df in (collections, inventories, health))  # type: ignore[return-value]
+
+
+# Beginnings of paths that name a place on one machine.
+ABSOLUTE_PATH = r"(?i)^(?:[a-z]:[\\/]|[a-z][\\/]users[\\/]|\\\\)"
+
+
+def change_folders(collections: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Collections with the library folders that were asked for (collection_id, folder), and ``refused``: why not, or null.
+
+    A path of one machine and a folder that another collection uses are refused; the collection's default folder is
+    stored as none. The catalog is to be written anew where ``library_path`` changed.
+    """
+    asked = wanted.select("collection_id", "folder").dropDuplicates(["collection_id"])
+    default = F.concat(F.col("collection_type"), F.lit("/"), slugify(F.col("collection_name"), "collection"))
+    rows = collections.withColumn("_now", collection_path()).withColumn("_default", default).join(asked, "collection_id", "left")
+    rows = rows.withColumn("_new", F.coalesce(F.nullif(normalize_library_path(F.col("folder")), F.lit("")), F.col("_default")))
+    used = rows.groupBy(F.lower("_now").alias("_k")).agg(F.count("*").alias("_n"), F.min("collection_id").alias("_who"))
+    rows = rows.join(used, F.lower("_new") == F.col("_k"), "left")
+    others = F.coalesce(F.col("_n") > F.when(F.lower("_now") == F.lower("_new"), 1).otherwise(0), F.lit(False))
+    refused = F.when(js_trim(F.col("folder")).rlike(ABSOLUTE_PATH), "a path of one machine").when(others, "another collection uses this folder")
+    refused = F.when(F.col("folder").isNotNull(), refused)
+    path = F.when(F.col("folder").isNull() | refused.isNotNull(), F.col("library_path")).when(F.col("_new") == F.col("_default"), "").otherwise(F.col("_new"))
+    return rows.select([path.alias(c) if c == "library_path" else F.col(c) for c in collections.columns] + [refused.alias("refused")])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from papyrion.operators import snapshots
+from papyrion.plans import html_queries, source_queries, upkeep_queries
 from papyrion.plans.queries import SYNC_CUT
 from papyrion.sinks.documents import TASKS
 
@@ -12,7 +13,7 @@ CLIP = "clip AS (SELECT DISTINCT ON (clip_id) * FROM clip_log ORDER BY clip_id,
 SNAP = """snap AS (SELECT DISTINCT ON (inventory_id) inventory_id, collection_id, last_refreshed_at, pages FROM site_inventories
   WHERE pages IS NOT NULL AND last_refreshed_at IS NOT NULL AND collection_id IS NOT NULL ORDER BY inventory_id),
 latest AS (SELECT * FROM snap QUALIFY row_number() OVER (PARTITION BY collection_id ORDER BY last_refreshed_at DESC, inventory_id DESC) = 1)"""
-_TRIM = r"' ' || chr(9) || chr(10) || chr(13) || chr(160)"
+_TRIM = r"' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(65279)"
 
 
 def _trimmed(u: str) -> str:
@@ -227,3 +228,36 @@ SQL = {
         || string_agg(line, chr(10) ORDER BY n) || chr(10) || chr(10) || 'TASK' || chr(10) || chr(10) || '{TASKS['compare']}' || chr(10) || chr(10) || 'Say also what the files leave out.' AS content FROM l GROUP BY 1""",
     "metadata_days": f"WITH {CAP} SELECT capture_id, {_DAY.format(c='metadata.published')} AS published_day, {_DAY.format(c='metadata.modified')} AS modified_day FROM cap",
 }
+SQL |= html_queries.SQL | source_queries.SQL | upkeep_queries.SQL
+_LABELED = lambda key, c: f"CASE WHEN nullif({c}, '') IS NOT NULL THEN '{key}: ' || {c} END"
+_P = "p AS (SELECT capture_id, title, url, nullif(metadata.author, '') AS author, nullif(metadata.published, '') AS published, nullif(metadata.modified, '') AS modified, metadata.description AS description, metadata.site AS site, metadata.captured_at AS captured, metadata.tags AS tags, mode, markdown, variables FROM cap)"
+_TAGS = f"CASE WHEN len(tags) > 0 THEN 'tags:' || chr(10) || array_to_string(list_transform(tags, lambda t: '  - ' || {_yaml('t')}), chr(10)) END"
+_FOLDER = f"coalesce(nullif(array_to_string(list_transform(list_filter(string_split(coalesce(library_path, ''), '/'), lambda s: trim(s) NOT IN ('', '.', '..')), lambda s: {_segment('s')}), '/'), ''), collection_type || '/' || {_slug('collection_name')})"
+_COL = f"""norm AS (SELECT DISTINCT ON (collection_id) collection_id, source_mode, library_path, added_at, coalesce(nullif(trim(web_url), ''), nullif(trim(source_url), '')) AS address, web_url, source_url,
+  list_distinct(list_filter(list_transform(coalesce(urls, []), lambda u: {_trimmed('u')}), lambda u: regexp_matches(u, '(?i)^https?://'))) AS urls, collection_name AS n, collection_type AS t FROM collections),
+named AS (SELECT * EXCLUDE (n, t), CASE WHEN t IN ('sharepoint', 'confluence', 'website', 'custom') THEN t ELSE {_KIND('address')} END AS collection_type, n AS collection_name FROM norm)"""
+_TITLE = f"coalesce(nullif(trim(CASE WHEN capture_id % 3 = 0 THEN ' Edited ' || capture_id WHEN capture_id % 3 = 1 THEN ' ' ELSE title END, {_TRIM}), ''), nullif(title, ''), 'page')"
+SQL |= {
+    "metadata_lists": f"""WITH {CAP}, {_P} SELECT capture_id, array_to_string(list_filter([{_LABELED('Source', 'url')}, {_LABELED('Author', 'author')}, {_LABELED('Published', 'published')}, CASE WHEN modified IS DISTINCT FROM published THEN {_LABELED('Modified', 'modified')} END, {_LABELED('Description', 'description')}, {_LABELED('Site', 'site')},
+      CASE WHEN len(tags) > 0 THEN 'Tags: ' || array_to_string(tags, ', ') END, {_LABELED('Captured', 'captured')}], lambda x: x IS NOT NULL), chr(10)) AS metadata_list FROM p""",
+    "knowledge_base_matter": f"""WITH {CAP}, {_P}, f AS (SELECT capture_id, array_to_string(list_filter([{_line('title', 'title')}, {_line('source_url', 'url')}, {_line('author', 'author')}, {_line('published', 'published')}, {_line('description', 'description')}, {_TAGS}, 'type: article'], lambda x: x IS NOT NULL), chr(10)) AS body FROM p WHERE description <> '')
+      SELECT capture_id, '---' || chr(10) || body || chr(10) || '---' AS front_matter FROM f""",
+    "assembled_documents": f"""WITH {CAP}, e AS (SELECT capture_id, mode, {_TITLE} AS title, CASE WHEN capture_id % 4 = 0 THEN 'https://edited.test/x' ELSE url END AS url, capture_id % 5 = 0 OR regexp_matches(coalesce(cap.title, ''), '[^\x00-\x7F]') AS own FROM cap)
+      SELECT capture_id, title, url, mode, CASE WHEN own THEN 'my file ' || capture_id ELSE {_sane(_slug('title'))} END || '.md' AS file_name FROM e""",
+    "assembled_templates": f"""WITH {CAP}, {_P} SELECT capture_id, coalesce(nullif(trim(coalesce(title, ''), {_TRIM}), ''), nullif(title, ''), 'page') || ' by An Editor' || chr(10) || coalesce(site, '') || '|' || coalesce(array_to_string(tags, ', '), '') || chr(10) || chr(10) AS markdown FROM p""",
+    "permitted_pages": f"WITH {CAP}, o AS (SELECT DISTINCT {_hostname('coalesce(web_url, source_url)')} AS h FROM collections WHERE collection_type = 'website') SELECT capture_id FROM cap WHERE {_hostname('url')} IN (SELECT h FROM o WHERE h IS NOT NULL)",
+    "unique_folders": f"""WITH {_COL}, f AS (SELECT collection_id, added_at, 'Lib/' || left(collection_name, 1) AS folder FROM named), n AS (SELECT *, row_number() OVER (PARTITION BY lower(folder) ORDER BY added_at NULLS LAST, collection_id) AS k FROM f)
+      SELECT collection_id, folder || CASE WHEN k = 1 THEN '' ELSE '-' || k END AS folder FROM n""",
+    "collections_normalized": f"WITH {_COL} SELECT collection_id, collection_name, collection_type, {_FOLDER} AS folder, len(urls) AS n_urls, {_KIND('coalesce(web_url, source_url)')} AS url_type FROM named",
+    "inventory_pages": f"""WITH {SNAP}, u AS (SELECT collection_id, unnest(pages) AS p, generate_subscripts(pages, 1) AS pos FROM latest), k AS (SELECT collection_id, p, {_IDENTITY} AS page_key FROM u WHERE p IS NOT NULL QUALIFY row_number() OVER (PARTITION BY collection_id, page_key ORDER BY pos) = 1),
+      l AS (SELECT *, {_trimmed("regexp_replace(regexp_replace(url_decode(regexp_extract(" + _path('p.url') + ", '([^/]+)/?$', 1)), '(?i)\\.[a-z0-9]+$', ''), '[-_]+', ' ', 'g')")} AS words FROM k WHERE page_key IS NOT NULL)
+      SELECT collection_id, page_key, coalesce(nullif({_trimmed('p.title')}, ''), nullif(words, ''), {_hostname('p.url')}, p.url) AS title, {_DAY.format(c='p.modified')} AS modified_day FROM l""",
+    "page_state": f"""WITH {CAP}, {CLIP}, s AS (SELECT DISTINCT {_canonical('u')} AS k FROM (SELECT unnest(urls) AS u FROM collections)), n AS (SELECT {_canonical('url')} AS k, coalesce(nullif(preview_fingerprint, ''), content_fingerprint) AS fp FROM clip WHERE url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {_canonical('url')} ORDER BY clipped DESC NULLS LAST, clip_id) = 1),
+      p AS (SELECT capture_id, {_canonical('url')} AS k, {_fnv(_fingerprint_form('markdown'))} AS now FROM cap WHERE markdown IS NOT NULL)
+      SELECT capture_id, CASE WHEN n.k IS NOT NULL AND coalesce(n.fp, '') <> '' THEN CASE WHEN n.fp = now THEN 'current' ELSE 'changed' END WHEN s.k IS NOT NULL THEN 'stored' WHEN n.k IS NOT NULL THEN 'known' ELSE 'unknown' END AS state FROM p LEFT JOIN n ON n.k = p.k LEFT JOIN s ON s.k = p.k""",
+    "inventory_csv_lines": "SELECT array_to_string([" + ", ".join(rf"""CASE WHEN regexp_matches({c}, '[",\r\n]') THEN '"' || replace({c}, '"', '""') || '"' ELSE {c} END""" for c in ("collection_name", "collection_type", "discovery_method", "collection_url", "page_title", "page_url", "modified", "last_refreshed")) + "], ',') AS line FROM (" + SQL["collection_inventory_csv"] + ")",
+    "aggregate_documents": f"""WITH {CAP}, r AS (SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY capture_id) AS n, coalesce(nullif(title, ''), url) AS name, url, markdown FROM cap WHERE job_id IS NOT NULL),
+      l AS (SELECT job_id, n, '- [' || replace(name, ']', '\\]') || '](#' || regexp_replace(trim(regexp_replace(lower(n || '. ' || name), '[^A-Za-z0-9_\\s-]', '', 'g'), {_TRIM}), '\\s+', '-', 'g') || ')' AS toc, '## ' || n || '. ' || name || chr(10) || chr(10) || 'Source: ' || url || chr(10) || chr(10) || trim(coalesce(markdown, ''), ' ') || chr(10) || chr(10) || '---' || chr(10) AS section FROM r),
+      d AS (SELECT job_id, '# Site export' || chr(10) || chr(10) || count(*) || CASE WHEN count(*) = 1 THEN ' page.' ELSE ' pages.' END || chr(10) || chr(10) || '## Contents' || chr(10) || chr(10) || coalesce(string_agg(toc, chr(10) ORDER BY n), '') || chr(10) || chr(10) || coalesce(string_agg(section, chr(10) ORDER BY n), '') AS t FROM l GROUP BY 1)
+      SELECT job_id, trim(regexp_replace(regexp_replace(t, '\\n{{3,}}', chr(10) || chr(10), 'g'), '\\n+$', ''), ' ') || chr(10) AS content FROM d""",
+}

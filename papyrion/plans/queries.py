@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from papyrion.functions import compose, hashing, scalars, templates, text, urls
 from papyrion.operators import capture, cliplog, collections, crawl, inventories, jobs, paths, snapshots, sync, tags
 from papyrion.operators.ordered import with_previous
+from papyrion.plans import html_queries, source_queries, upkeep_queries
 from papyrion.session import read_table
 from papyrion.sinks import documents, files
 
@@ -376,4 +377,4 @@ _ALL = (
     missing_bodies, link_distances, page_links, front_matter, composed_documents, rendered_templates, template_selectors, site_index, aggregate_sections, aggregate_documents,
     knowledge_index, prompt_inventory, metadata_days, page_capture,
 )
-QUERIES = {"p4_found": snapshots.p4_found, **{f.__name__: f for f in _ALL}}
+QUERIES = {"p4_found": snapshots.p4_found, **{f.__name__: f for f in _ALL}, **html_queries.QUERIES, **source_queries.QUERIES, **upkeep_queries.QUERIES}

@@ -62,3 +62,27 @@ def migrate_collections(stored: dict | None) -> list[dict]:
     if stored.get("version", 1) >= 2:
         return list(stored.get("collections", []))
     return [{"collection_id": s.get("id"), "collection_name": s.get("name"), "collection_type": "sharepoint", "source_mode": "rest", "source_url": s.get("url"), "web_url": s.get("url"), "urls": [], "added_at": s.get("addedAt")} for s in stored.get("sites", [])]
+
+
+@dataclass
+class Schedule:
+    """When all collections are synced: how often, and when it was done last (milliseconds, none for never)."""
+
+    frequency: str = "off"
+    last_completed_at: int | None = None
+
+    @classmethod
+    def load(cls, stored: dict | None) -> Schedule:
+        stored = stored or {}
+        frequency = stored.get("frequency")
+        return cls(frequency if frequency in FREQUENCIES else "off", stored.get("last_completed_at") or None)
+
+    def save(self) -> dict:
+        return asdict(self)
+
+    def with_frequency(self, frequency: str) -> Schedule:
+        """Another frequency; an unknown one switches the schedule off."""
+        return Schedule(frequency if frequency in FREQUENCIES else "off", self.last_completed_at)
+
+    def completed(self, at: int) -> Schedule:
+        return Schedule(self.frequency, at)

@@ -118,18 +118,19 @@ def sitemap_pages(start: DataFrame, fetched: DataFrame, max_pages: int | None =
     ``max_pages``, in order of discovery.
     """
     found = fetched.select("url", sitemap_locations(F.col("body")).alias("at"))
-    level = materialize(start.select("url", F.lit(0).cast("long").alias("ord")).dropDuplicates(["url"]))
+    # A sitemap's place is the path of places that leads to it, which sorts as it was found, however deep the tree.
+    level = materialize(start.select("url", F.array(F.lit(0)).alias("ord")).dropDuplicates(["url"]))
     seen, pages, depth = level.select("url"), None, 0
     while not level.isEmpty():
         hit = materialize(level.join(found, "url"))
         new = hit.select(F.lit(depth).alias("depth"), "ord", F.posexplode("at.pages").alias("pos", "page"))
         pages = new if pages is None else pages.unionByName(new)
-        following = hit.select("ord", F.posexplode("at.sitemaps").alias("pos", "url")).groupBy("url").agg(F.min(F.col("ord") * 100_000 + F.col("pos")).alias("ord")).join(seen, "url", "left_anti")
+        following = hit.select("ord", F.posexplode("at.sitemaps").alias("pos", "url")).groupBy("url").agg(F.min(F.concat("ord", F.array("pos"))).alias("ord")).join(seen, "url", "left_anti")
         level = materialize(following.select("url", "ord"))
         seen = materialize(seen.unionByName(level.select("url")))
         depth += 1
     if pages is None:
-        return start.select("url", F.lit(0).alias("ord")).where("false")
+        pages = level.select(F.lit(0).alias("depth"), "ord", F.lit(0).alias("pos"), F.col("url").alias("page"))
     out = pages.groupBy("page").agg(F.min(F.struct("depth", "ord", "pos")).alias("ord")).select(F.col("page").alias("url"), "ord").orderBy("ord")
     return out.limit(max_pages) if max_pages is not None else out
 
