@@ -73,9 +73,11 @@ def advance(state: CrawlState, site: DataFrame, options: CrawlOptions, origin: s
     room = options.max_pages - state.pages.where("error is null").count()
     known = site.withColumn("k", comparable_url(F.col("url"))).groupBy("k").agg(F.first("links").alias("links"), F.first("error").alias("error"), F.lit(True).alias("found"))
     visited = state.frontier.join(known, "k", "left").withColumn("error", F.when(F.col("found").isNull(), "page not found").otherwise(F.col("error")))
-    # The frontier is never longer than the cap, so numbering it is the sort of a few rows.
-    ok = F.col("error").isNull().cast("int")
-    visited = visited.withColumn("before", F.sum(ok).over(_in_order()) - ok).where(F.col("before") < room)
+    # Up to the page that fills the cap: the place of the last of the first ``room`` readable pages, however long the frontier.
+    visited = materialize(visited)
+    last = visited.where("error is null").select("ord").orderBy("ord").limit(room).agg(F.count("*").alias("n"), F.max("ord").alias("ord")).first()
+    if last["n"] >= room:
+        visited = visited.where(F.col("ord") <= (last["ord"] if room > 0 else -1))
     visited = materialize(visited.select("k", "url", "depth", "ord", "links", "error"))
     pages = state.pages.unionByName(visited.select("url", "depth", "ord", "error"))
     room -= visited.where("error is null").count()
@@ -86,6 +88,7 @@ def advance(state: CrawlState, site: DataFrame, options: CrawlOptions, origin: s
             links = links.where(same_host(F.col("url"), F.lit(origin)))
         links, warnings = _allowed(links, options, state.depth + 1, False)
         links = links.withColumn("k", comparable_url(F.col("url"))).where("k is not null").groupBy("k").agg(F.min(F.struct("ord", "at", "url")).alias("s")).join(state.seen, "k", "left_anti")
+        # At most as many as the cap, so numbering them is the sort of a few rows.
         capped = links.orderBy("s.ord", "s.at").limit(room)
         base = (state.depth + 1) * 1_000_000_000
         following = materialize(capped.select("k", F.col("s.url").alias("url"), (F.row_number().over(_links_in_order()) + base).cast("long").alias("ord"), F.lit(state.depth + 1).alias("depth")))
@@ -93,12 +96,6 @@ def advance(state: CrawlState, site: DataFrame, options: CrawlOptions, origin: s
     return CrawlState(pages, following, seen, state.depth + 1, [*state.warnings, *warnings])
 
 
-def _in_order():  # noqa: ANN202
-    from pyspark.sql import Window
-
-    return Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
 def _links_in_order():  # noqa: ANN202
     from pyspark.sql import Window
 

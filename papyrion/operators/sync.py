@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from papyrion.functions.hashing import content_hash
 from papyrion.functions.urls import comparable_url
+from papyrion.session import materialize
 
 #: Front-matter properties that differ at every capture; they are left out of the hash unless hash_scope is ``file``.
 VOLATILE = ("captured", "updated", "clipped")
@@ -26,15 +27,17 @@ def stable_content(content: str):  # noqa: ANN201 - a Column
 def sync_plan(files: DataFrame, previous: DataFrame, expected: DataFrame | None = None, errors: DataFrame | None = None, hash_scope: str = "stable") -> DataFrame:
     """What a sync does with each file: collection_id, path, url, title, content_hash, action, capture_error.
 
-    ``files`` (collection_id, path, url, title, content) are the captured pages' files; ``previous`` (collection_id, path,
+    ``files`` (collection_id, path, url, title, and content or its content_hash) are the captured pages' files; ``previous`` (collection_id, path,
     url, title, content_hash) those of the last manifest, a null url standing for a manifest that has paths only;
     ``expected`` (collection_id, url) the current inventory; ``errors`` (collection_id, url, error). Actions: ``write``
     (new or changed), ``unchanged`` (same address, path and hash), ``retained`` or ``error`` (expected but not captured:
     the last good file stays), ``removed`` (awaits review). Without ``expected`` nothing is retained.
     """
     key = lambda df: df.withColumn("k", comparable_url(F.col("url")))
-    now = key(files).withColumn("content_hash", content_hash(stable_content("content") if hash_scope == "stable" else F.col("content"))).drop("content")
-    old = key(previous)
+    if "content_hash" not in files.columns:
+        files = files.withColumn("content_hash", content_hash(stable_content("content") if hash_scope == "stable" else F.col("content"))).drop("content")
+    # Both are read several times, and hashed once; contents don't travel.
+    now, old = materialize(key(files)), materialize(key(previous))
     last = old.where("k is not null").groupBy("collection_id", "k").agg(F.max_by(F.struct("path", "content_hash"), "path").alias("old"))
     same = (F.col("old.path") == F.col("path")) & (F.col("old.content_hash") == F.col("content_hash"))
     current = now.join(last, ["collection_id", "k"], "left").withColumn("action", F.when(same, "unchanged").otherwise("write"))

@@ -9,7 +9,7 @@ from papyrion.functions import compose, hashing, scalars, templates, text, urls
 from papyrion.operators import capture, cliplog, collections, crawl, inventories, jobs, paths, snapshots, sync, tags
 from papyrion.operators.ordered import with_previous
 from papyrion.plans import html_queries, source_queries, upkeep_queries
-from papyrion.session import read_table
+from papyrion.session import materialize, read_table
 from papyrion.sinks import documents, files
 
 #: Where the sync query cuts the deliveries in two: what was ingested before is the last sync.
@@ -163,19 +163,21 @@ def sync_plan(spark: SparkSession, d: str) -> DataFrame:
 
 def _sync(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     caps = read_table(spark, d, "captures").select("capture_id", "collection_id", "url", "title", "markdown", "error", "ingested_at").where("collection_id is not null")
-    first = caps.groupBy("capture_id").agg(F.min_by(F.struct("collection_id", "url", "title", "markdown", "error", "ingested_at"), "ingested_at").alias("c")).select("capture_id", "c.*")
-    key = urls.comparable_url(F.col("url"))
-    ok = first.where("markdown is not null and error is null").withColumn("k", key)
+    # Hashed where the texts are read: from here on only hashes travel, and they are made once.
+    hashed = F.when(F.col("markdown").isNotNull(), hashing.content_hash(sync.stable_content("markdown")))
+    caps = materialize(caps.select("capture_id", "collection_id", "url", "title", hashed.alias("content_hash"), "error", "ingested_at", urls.comparable_url(F.col("url")).alias("k")))
+    first = caps.groupBy("capture_id").agg(F.min_by(F.struct("collection_id", "url", "title", "content_hash", "error", "ingested_at", "k"), "ingested_at").alias("c")).select("capture_id", "c.*")
+    first = materialize(first)
+    ok = first.where("content_hash is not null and error is null")
 
     def manifest(rows: DataFrame) -> DataFrame:
-        newest = rows.groupBy("collection_id", "k").agg(F.max_by(F.struct("capture_id", "url", "title", "markdown"), "capture_id").alias("c")).select("collection_id", "c.*")
-        return newest.select("collection_id", F.concat(F.sha2(urls.comparable_url(F.col("url")), 256), F.lit(".md")).alias("path"), "url", "title", F.col("markdown").alias("content"))
+        newest = rows.groupBy("collection_id", "k").agg(F.max_by(F.struct("url", "title", "content_hash"), "capture_id").alias("c")).select("collection_id", "k", "c.*")
+        return newest.select("collection_id", F.concat(F.sha2("k", 256), F.lit(".md")).alias("path"), "url", "title", "content_hash")
 
     cut = F.lit(SYNC_CUT).cast("timestamp")
-    before, since = manifest(ok.where(F.col("ingested_at") < cut)), manifest(ok.where(F.col("ingested_at") >= cut))
-    previous = before.withColumn("content_hash", hashing.content_hash(sync.stable_content("content"))).drop("content")
+    since, previous = manifest(ok.where(F.col("ingested_at") >= cut)), materialize(manifest(ok.where(F.col("ingested_at") < cut)))
     failed = first.where("error is not null").select("collection_id", "url", "error")
-    expected = _collections(spark, d).select("collection_id", F.explode("urls").alias("url")).unionByName(failed.select("collection_id", "url")).unionByName(before.where("title is not null").select("collection_id", "url"))
+    expected = _collections(spark, d).select("collection_id", F.explode("urls").alias("url")).unionByName(failed.select("collection_id", "url")).unionByName(previous.where("title is not null").select("collection_id", "url"))
     return sync.sync_plan(since, previous, expected, failed), previous
 
 

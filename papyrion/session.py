@@ -87,6 +87,26 @@ def write_marker(spark: SparkSession, path: str) -> None:
     fs.create(target, True).close()
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file, written over one that is there."""
+    fs, target = file_system(spark, path)
+    out = fs.create(target, True)
+    out.write(text.encode())
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file; None where there is none."""
+    fs, target = file_system(spark, path)
+    if not fs.exists(target):
+        return None
+    source = fs.open(target)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+
+
 def names_in(spark: SparkSession, path: str) -> list[str]:
     """Names of the files and folders right below ``path``, in order; none where it doesn't exist."""
     fs, target = file_system(spark, path)

@@ -1,16 +1,44 @@
-"""Spark data sources of discovery files: ``spark.dataSource.register(SitemapSource)``, then ``spark.read.format("sitemap").load(path)``."""
+"""Spark data sources of discovery files: ``spark.dataSource.register(SitemapSource)``, then ``spark.read.format("sitemap").load(path)``.
+
+Paths are files, folders or patterns; with a scheme (``hdfs://``, ``s3://``, ``file://``) they are read from that file system.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from glob import glob
+from fnmatch import fnmatch
 from html import unescape
-from pathlib import Path
+from urllib.parse import urljoin
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
+def _open(path: str):  # noqa: ANN202 - types of an optional library
+    """The file system of a path, and the path within it."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = path.removeprefix("file:").replace("//", "", 1) if path.startswith("file://") else path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def files_of(path: str) -> list[str]:
+    """The files that a path names: a file itself, those right in a folder, or those of a pattern in its last part."""
+    from pyarrow import fs
+
+    system, inner = _open(path)
+    scheme = path[: len(path) - len(inner)] if path.endswith(inner) and "://" in path else ""
+    folder, _, pattern = inner.rpartition("/")
+    if any(c in pattern for c in "*?["):
+        found = [f.path for f in system.get_file_info(fs.FileSelector(folder or ".")) if f.type == fs.FileType.File and fnmatch(f.base_name, pattern)]
+    elif system.get_file_info(inner).type == fs.FileType.Directory:
+        found = [f.path for f in system.get_file_info(fs.FileSelector(inner)) if f.type == fs.FileType.File]
+    else:
+        found = [inner]
+    return [scheme + f for f in sorted(found)]
+
+
 class _File(InputPartition):
     def __init__(self, path: str) -> None:
         self.path = path
@@ -18,16 +46,20 @@ class _File(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.path = options["path"].removeprefix("file:")
+        self.path = options["path"]
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in (sorted(map(str, Path(self.path).glob("*"))) if Path(self.path).is_dir() else sorted(glob(self.path)))]
+        return [_File(p) for p in files_of(self.path)]
 
     def found(self, data: bytes) -> list[tuple[str, str]]:
-        raise NotImplementedError
+        """(kind, url) of what a file names."""
+        return []
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        for k, (kind, url) in enumerate(self.found(Path(partition.path).read_bytes())):
+        system, inner = _open(partition.path)
+        with system.open_input_file(inner) as f:
+            data = f.read()
+        for k, (kind, url) in enumerate(self.found(data)):
             yield partition.path, k, kind, url
 
 
@@ -71,3 +103,31 @@ class WorkbookSource(_Source):
 
     def reader(self, schema: object) -> DataSourceReader:
         return _WorkbookReader(self.options)
+
+
+class _LlmsReader(_Reader):
+    def __init__(self, options: dict) -> None:
+        super().__init__(options)
+        self.base = options.get("base", "")
+
+    def found(self, data: bytes) -> list[tuple[str, str]]:
+        text = data.decode("utf-8", "replace")
+        links = re.findall(r"\[[^\]]*\]\(([^\s)]+)(?:\s+[\"'][^\"']*[\"'])?\)", text) + re.findall(r"https?://[^\s<>\"')\]]+", text, re.I)
+        out = []
+        for link in links:
+            try:
+                out.append(urljoin(self.base, link))
+            except ValueError:
+                continue
+        return [("page", u) for u in dict.fromkeys(out) if re.match(r"https?://", u, re.I)]
+
+
+class LlmsSource(_Source):
+    """Links of llms.txt files, resolved against the option ``base``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "llms"
+
+    def reader(self, schema: object) -> DataSourceReader:
+        return _LlmsReader(self.options)

@@ -9,9 +9,11 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from papyrion.functions import templates
+from papyrion.settings import Schedule
 from papyrion.sinks import documents, files
 from papyrion.sources import lists
-from papyrion.sources.datasource import SitemapSource, WorkbookSource
+from papyrion.sources.datasource import LlmsSource, SitemapSource, WorkbookSource
 from papyrion.streaming.captures import ClipTable, classify_batch, stream_captures
 from tests.conftest import rows
 
@@ -40,6 +42,49 @@ def test_lists(spark, tmp_path):
     assert [r["url"] for r in spark.read.format("workbook").load(str(tmp_path / "w.xlsx")).orderBy("ord").collect()] == [*two, "https://c.test/3"]
 
 
+def test_sources_of_folders_patterns_and_schemes(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("# T\n- [A](/a 't') [B](b)\nhttps://x.test/c [M](mailto:q)", encoding="utf-8")
+    (tmp_path / "b.txt").write_text("- [D](d)", encoding="utf-8")
+    (tmp_path / "c.md").write_text("- [E](e)", encoding="utf-8")
+    spark.dataSource.register(LlmsSource)
+    read = lambda path: sorted(r["url"] for r in spark.read.format("llms").option("base", "https://s.test/l/llms.txt").load(path).collect())
+    assert read(str(tmp_path / "a.txt")) == ["https://s.test/a", "https://s.test/l/b", "https://x.test/c"]
+    assert read(f"file://{tmp_path}/*.txt") == ["https://s.test/a", "https://s.test/l/b", "https://s.test/l/d", "https://x.test/c"]
+    assert len(read(str(tmp_path))) == 5
+
+
+def test_functions_for_sql(spark):
+    templates.register_functions(spark)
+    spark.createDataFrame([(1, "see [a](https://a.test/1) ![i](u) https://b.test/2.", bytearray(workbook())), (2, None, None)], "k long, t string, w binary").createOrReplaceTempView("texts")
+    assert rows(spark.sql("select k, l.ord, l.text, l.url from texts, lateral markdown_links(t) l")) == [(1, 0, "a", "https://a.test/1")]
+    assert rows(spark.sql("select k, l.url from texts, lateral text_urls(t) l")) == [(1, "https://a.test/1"), (1, "https://b.test/2")]
+    assert rows(spark.sql("select l.value from texts, lateral workbook_cells(w) l"))[0] == ("5",)
+    assert spark.sql("select render_template('{{a|upper}}!', map('a', 'x')) r, html_to_markdown('<b>y</b>') h").first()[:] == ("X!", "**y**")
+
+
+def test_schedule():
+    s = Schedule.load({"frequency": "hourly", "last_completed_at": 5})
+    assert s == Schedule("off", 5) and s.with_frequency("weekly").completed(9).save() == {"frequency": "weekly", "last_completed_at": 9} and Schedule.load(None) == Schedule()
+
+
+def test_clip_table_by_buckets(spark, tmp_path):
+    table = ClipTable(spark, str(tmp_path / "clips"), 4)
+    frame = lambda d: spark.createDataFrame(d, "url string, title string, markdown string, captured_at timestamp, error string")
+    table.merge(frame([(f"https://a.test/{k}", "t", f"text {k}", datetime(2026, 1, 1), None) for k in range(40)]), 0)
+    first = {r["url_key"]: r for r in table.read().collect()}
+    table.merge(frame([("https://a.test/7#x", "new", "other", datetime(2026, 1, 2), None), ("https://a.test/8", None, None, datetime(2026, 1, 2), "failed")]), 1)
+    second = {r["url_key"]: r for r in table.read().collect()}
+    assert len(first) == len(second) == 40 and second["https://a.test/7"]["title"] == "new" and second["https://a.test/7"]["clipped"] == datetime(2026, 1, 1)
+    assert {k for k in first if first[k] != second[k]} == {"https://a.test/7"}
+    # Only the bucket of that address was written anew, and a batch that is run again changes nothing.
+    assert len(list((tmp_path / "clips" / "batch-000000000001").glob("bucket=*"))) == 1
+    table.merge(frame([("https://b.test/", "t", "x", datetime(2026, 1, 3), None)]), 1)
+    assert table.read().count() == 40
+    for n in range(2, 5):
+        table.merge(frame([(f"https://a.test/{k}", "t", f"text {n}", datetime(2026, 2, n), None) for k in range(40)]), n)
+    assert sorted(p.name for p in (tmp_path / "clips").glob("batch-*")) == ["batch-000000000003", "batch-000000000004"]
+
+
 def test_discovery(spark, tmp_path):
     index = "<sitemapindex><sitemap><loc>https://s.test/2.xml</loc></sitemap><sitemap><loc>https://s.test/1.xml</loc></sitemap></sitemapindex>"
     pages = "<urlset><url><loc>https://s.test/a?x=1&amp;y=2</loc></url><url><loc> <![CDATA[https://s.test/b]]> </loc></url></urlset>"
