@@ -37,8 +37,10 @@ STRAY_SHARE, PENALTY = 0.1, 25.0
 SENTENCE_WORDS, CJK_CHARACTERS = 8, 24
 #: From this share in links on a line is a link, unless so many words describe it.
 LINK_SHARE, DESCRIPTION_WORDS = 0.5, 3
-#: A segment of a menu row has at most so many words.
-SEGMENT_WORDS = 4
+#: A segment of a menu row has at most so many words and characters.
+SEGMENT_WORDS, SEGMENT_CHARACTERS = 4, 40
+#: So many characters at a line's end hold the end of its sentence with quotes, or a count.
+ENDING, COUNTED = 8, 24
 #: A site's line stands on so many different pages, and on this share of them.
 SITE_PAGES, SITE_SHARE = 5, 0.02
 
@@ -48,6 +50,7 @@ _END = re.compile(r"[.!?:…。！？：][\"'”’»)\]*_`]*$")
 _INNER_END = re.compile(r"[.!?…][\"'”’»)*_]* |[。！？]")
 _BULLET = re.compile(r"^(?:[-*+•·]|\d+[.)])\s+(?:\[[ x]\]\s+)?")
 _SEPARATORS = re.compile(r" ?[|·•›»] ?| > | / ")
+_COUNT_ENDS = frozenset(")nнst分.w")
 _COUNTED = re.compile(r"(?:[·|–-]\s*\d+\s*(?:min|мин|分|views?|comments?)\.?|\(\d+\))$")
 _DIGITS = re.compile(r"\d+")
 
@@ -62,55 +65,63 @@ OWN = frozenset({SENTENCE, ITEM, ROW, QUOTE, DESCRIBED, CODE, RESIDUE})
 OPEN = frozenset({SENTENCE, UNFINISHED, LINK, MENU, STRAY, NOTICE})
 
 
-def link_density(folded: str) -> float:
-    if "](" not in folded:
-        return 0.0
-    inside = sum(len(m[1]) for m in L._LINK.finditer(folded))
-    return inside / max(1, len(L.link_text(folded)))
-
-
 def _words(text: str) -> int:
     return len(L._WORD.findall(text))
 
 
+def _ends(text: str) -> bool:
+    """Whether a sentence ends with the line."""
+    return _END.search(text[-ENDING:]) is not None
+
+
 def _sentence(text: str) -> str:
     """SENTENCE, UNFINISHED or STRAY for running text."""
-    if _CJK.search(text):
-        return SENTENCE if _END.search(text) or _INNER_END.search(text) else UNFINISHED if len(text) >= CJK_CHARACTERS else STRAY
+    if not text.isascii() and _CJK.search(text):
+        return SENTENCE if _ends(text) or _INNER_END.search(text) else UNFINISHED if len(text) >= CJK_CHARACTERS else STRAY
+    if text.count(" ") > 4 * SENTENCE_WORDS:
+        return SENTENCE
     n = _words(text)
-    if n >= 2 and _END.search(text) or n >= 5 and _INNER_END.search(text):
+    if n >= 2 and _ends(text) or n >= 5 and _INNER_END.search(text):
         return SENTENCE
     return STRAY if n < SENTENCE_WORDS else UNFINISHED if n < 2 * SENTENCE_WORDS else SENTENCE
 
 
 def _is_menu(text: str) -> bool:
     """Short segments in a row, with a sign between them."""
+    if not ("|" in text or "·" in text or " > " in text or " / " in text or "•" in text or "›" in text or "»" in text):
+        return False
     parts = _SEPARATORS.split(text)
-    if len(parts) < 2 or len(parts) == 2 and " / " in text:
+    if len(parts) < 2 or len(parts) == 2 and " / " in text or max(map(len, parts)) > SEGMENT_CHARACTERS:
         return False
-    return all(len(p) <= 40 and _words(p) <= SEGMENT_WORDS and not _END.search(p) for p in parts)
+    return all(_words(p) <= SEGMENT_WORDS and not _ends(p) for p in parts)
 
 
 def line_kind(row: str, folded: str) -> tuple[str, float]:
     """The kind of a line, given as it stands and folded, and the points it passes on."""
     if not L.has_text(folded):
         return NOTHING, 0.0
-    if L._HEADING.match(folded):
+    sign = folded[0]
+    if sign == "#" and L._HEADING.match(folded):
         return HEADING, 0.0
-    if folded[0] == "|" and folded.count("|") > 2:
+    if sign == "|" and folded.count("|") > 2:
         return ROW, 0.5
     # Residue is another problem's: it stands in an article's place, but makes none.
-    if G.OPENER.search(row) and G.PLACEHOLDER.search(row) or L.residue_line(folded):
+    if G.opens(row) and G.PLACEHOLDER.search(row) or L.residue_line(folded):
         return RESIDUE, 0.0
-    links = link_density(folded)
-    text = L.link_text(folded) if links else folded
-    points = (1 + text.count(",") + text.count("、") + text.count("，") + min(3.0, len(text) / 100)) * (1 - links)
-    if folded[0] == ">":
+    text, links = folded, 0.0
+    if "](" in folded:
+        inside = sum(len(t) for t, _ in L._LINK.findall(folded))
+        text = L.link_text(folded)
+        links = inside / max(1, len(text))
+    points = (1 + text.count(",") + min(3.0, len(text) / 100)) * (1 - links)
+    if not text.isascii():
+        points += (text.count("、") + text.count("，")) * (1 - links)
+    if sign == ">":
         return QUOTE, points
-    if folded.startswith("![") and links >= LINK_SHARE:
+    if links >= LINK_SHARE and folded.startswith("!["):
         return ITEM, 0.5
-    bullet = _BULLET.match(folded)
-    bare = text[bullet.end() :] if bullet and not links else _BULLET.sub("", text)
+    bullet = sign in L._BULLET_SIGNS and _BULLET.match(folded)
+    bare = folded if text is folded and not bullet else folded[bullet.end() :] if bullet and not links else _BULLET.sub("", text)
     if links:
         rest = L._LINK.sub("", folded)
         if _words(rest) >= DESCRIPTION_WORDS or _CJK.search(rest) and len(rest) >= 10 or rest.rstrip().endswith(":"):
@@ -119,9 +130,9 @@ def line_kind(row: str, folded: str) -> tuple[str, float]:
             return LINK, points * STRAY_SHARE
     if L.boilerplate(bare):
         return STRAY, points * STRAY_SHARE - PENALTY
-    if L.notice(text) and not bullet:
+    if not bullet and L.notice(text):
         return NOTICE, points
-    if _COUNTED.search(bare) and not _INNER_END.search(bare):
+    if bare[-1] in _COUNT_ENDS and _COUNTED.search(bare[-COUNTED:]) and not _INNER_END.search(bare):
         return LINK, points * STRAY_SHARE
     if _is_menu(bare):
         return MENU, points * STRAY_SHARE

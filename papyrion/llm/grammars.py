@@ -25,3 +25,8 @@ GRAMMARS = {
 PLACEHOLDER = re.compile("|".join(GRAMMARS.values()))
 #: A quick test before the grammars.
 OPENER = re.compile(r"[{%]|@@|~~|__|\[\[|\[[IiYyEeAa]|<[YyIiEe%]")
+
+
+def opens(row: str) -> bool:
+    """Whether a placeholder may stand in a line."""
+    return ("{" in row or "%" in row or "[" in row or "<" in row or "__" in row or "@@" in row or "~~" in row) and OPENER.search(row) is not None

@@ -12,7 +12,7 @@ from papyrion.llm.lookalikes import _FROM, _TO, JOINED
 LABELS, SIDEBAR, BYLINES = W.words(W.MENU) | W.words(W.BUTTONS) | W.words(W.TOOLS), W.words(W.SIDEBAR), W.words(W.BYLINES)
 BUTTONS = W.words(W.BUTTONS)
 NOTICES = W.automaton(W.NOTICES)
-MESSAGE_PARTS = W.automaton({"missing": W.MISSING, "fails": W.FAILS, "message": W.MESSAGES, "scripts": W.SCRIPTS, "switched": W.SWITCHED})
+MESSAGE_PARTS = W.automaton({"missing": W.MISSING, "fails": W.FAILS, "message": W.MESSAGES, "scripts": W.SCRIPTS, "switched": W.SWITCHED, "error": W.ERROR})
 LOADING = W.words(W.LOADING)
 FILLER = W.Wordings(W.FILLER)
 
@@ -22,10 +22,13 @@ _FOLD = {ord(a): b for a, b in zip(_FROM, _TO, strict=True) if not "Ѐ" <= a <=
 _TO_LATIN = {ord(a): b for a, b in zip(_FROM, _TO, strict=True) if "Ѐ" <= a <= "ӿ"}
 _TO_CYRILLIC = {ord(b): a for a, b in zip(_FROM, _TO, strict=True) if "а" <= a <= "я" or "А" <= a <= "Я"}
 _TOUCHED = re.compile("[" + re.escape("".join(map(chr, _FOLD))) + "̀-゙゚ͯ]")
+_MEETING = re.compile(r"[A-Za-z][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-z]")
 _MIXED = re.compile(r"\w*(?:[A-Za-z][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-z])\w*")
 _BULLET = re.compile(r"^(?:[-*+•·]|\d+[.)])\s+(?:\[[ xX]\]\s+)?")
+#: What a bullet or an item's number begins with; an empty line's beginning is in it too.
+_BULLET_SIGNS = "-*+•·0123456789"
 _HEADING = re.compile(r"^#{1,6}\s+")
-_LINK = re.compile(r"!?\[([^\]\n]*)\]\(([^)\s]*)[^)]*\)")
+_LINK = re.compile(r"!?\[([^\]\n]*+)\]\(([^)\s]*+)[^)]*+\)")
 _WORD = re.compile(r"[^\W\d_]+")
 _HAS_TEXT = re.compile(r"[^\W_]")
 _STATUS = re.compile(r"^[45]\d\d(?![\w.,]\d)(?=$|[\s:,-])|(?:error|fehler|erreur|ошибка|エラー)[ :]*(?:code[ :]*)?\d+")
@@ -43,13 +46,18 @@ def fold_line(line: str) -> str:
     if not line.isascii():
         if _TOUCHED.search(line):
             line = unicodedata.normalize("NFC", line.translate(_FOLD))
-        line = _MIXED.sub(_one_script, line)
+        if _MEETING.search(line):
+            line = _MIXED.sub(_one_script, line)
     return " ".join(line.split()).lower()
 
 
 def bare(folded: str) -> str:
     """A folded line without heading, bullet, quote and emphasis marks."""
-    t = _BULLET.sub("", _HEADING.sub("", folded.lstrip("> ")))
+    t = folded.lstrip("> ")
+    if t[:1] == "#":
+        t = _HEADING.sub("", t)
+    if t[:1] in _BULLET_SIGNS:
+        t = _BULLET.sub("", t)
     return t.strip("*_ \t") if t[:1] in "*_" or t[-1:] in "*_" else t
 
 
@@ -59,6 +67,8 @@ def link_text(text: str) -> str:
 
 def latin_filler(folded: str) -> bool:
     """Filler that imitates Latin: most words are from its vocabulary."""
+    if W.LATIN.isdisjoint(folded.split()):
+        return False
     found = _WORD.findall(folded)
     return len(found) >= 4 and sum(w in W.LATIN for w in found) * 5 >= len(found) * 3
 
@@ -67,13 +77,15 @@ def message(text: str) -> bool:
     """Whether a short folded sentence is an error message or a notice that scripts are needed: a status code, or what is missing and how it fails."""
     if text in LOADING:
         return True
+    if text.count(" ") > 3 * MESSAGE_WORDS:
+        return False
     roles = {role for _, role in MESSAGE_PARTS.iter(text)}
-    if not roles and not text[:1].isdigit() and not _STATUS.search(text):
+    if not roles and not text[:1].isdigit():
         return False
     n = len(_WORD.findall(text))
     if n > MESSAGE_WORDS or n == 1 and len(text) > MESSAGE_CHARACTERS:
         return False
-    return "message" in roles or {"missing", "fails"} <= roles or {"scripts", "switched"} <= roles or bool((m := _STATUS.search(text)) and (n <= 6 or m.start() == 0))
+    return "message" in roles or {"missing", "fails"} <= roles or {"scripts", "switched"} <= roles or bool(("error" in roles or text[0].isdigit()) and (m := _STATUS.search(text)) and (n <= 6 or m.start() == 0))
 
 
 def residue_line(folded: str) -> bool:
@@ -84,8 +96,8 @@ def residue_line(folded: str) -> bool:
     if FILLER.fullmatch(t) or latin_filler(t) or message(t):
         return True
     for sep in (" - ", " | ", ": ", " – "):
-        head, found, rest = t.partition(sep)
-        if found and len(head) <= 40 and " " not in head.strip() and (FILLER.fullmatch(rest) or latin_filler(rest) or message(rest)):
+        at = t.find(sep, 0, 40 + len(sep))
+        if at >= 0 and " " not in t[:at].strip() and (FILLER.fullmatch(rest := t[at + len(sep) :]) or latin_filler(rest) or message(rest)):
             return True
     return False
 

@@ -41,7 +41,7 @@ _SENTENCE_END = re.compile(r"(?<!\be\.g)(?<!\bi\.e)(?<!\bz\.B)(?<!\bz\. B)(?<!\b
 
 def placeholders(line: str) -> tuple[int, int]:
     """How many placeholders stand open in a line's running text, and how many are quoted or explained by the words beside them."""
-    if not G.OPENER.search(line):
+    if not G.opens(line):
         return 0, 0
     text = _DATA.sub(" ", _CODE_SPAN.sub(" ", line))
     found = told = 0

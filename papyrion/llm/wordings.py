@@ -89,6 +89,9 @@ SWITCHED = """
 enable, turn on, turned on, turn it on, switch on, switched on, switched off, turned off, activate, disabled, needs, need to, requires, required, must be, does not support, doesn't support, works best, blocks, blocked, without,
 aktivieren, aktiviert, einschalten, deaktiviert, ausgeschaltet, benötigt, erforderlich, activer, activez, désactivé, nécessite, requis, activa, active, activar, habilita, desactivado, necesita, requiere, включ, отключ, требу, необходим, 有効, 無効, 必要, オン
 """
+ERROR = """
+error, fehler, erreur, ошибка, エラー
+"""
 LOADING = """
 loading, loading..., loading…, please wait, wird geladen, chargement, chargement en cours, cargando, загрузка, 読み込み中
 """
