@@ -179,3 +179,22 @@ def p2_groups(spark, sf_dir: str) -> DataFrame:
     """One row per group of copies, with the exact number of copies."""
     groups, _ = copy_groups(canonical_records(*(read_table(spark, sf_dir, t) for t in ("captures", "clip_log", "clip_raw"))))
     return groups.where("n_copies > 1")
+
+
+def p2_layouts(spark, sf_dir: str) -> DataFrame:
+    """Groups of copies in captures and clip_log: record_set, keep_id and n_copies. These SQL can tell too; JSON of any layout it can't."""
+    groups, _ = copy_groups(canonical_records(read_table(spark, sf_dir, "captures"), read_table(spark, sf_dir, "clip_log"), read_table(spark, sf_dir, "clip_raw").where("false")))
+    return groups.where("n_copies > 1")
+
+
+_BARE = r"lower(regexp_replace({c}, '[^\pL\pN\pM]+', '', 'g'))"
+P2_LAYOUTS_SQL = rf"""
+WITH b AS (
+  SELECT DISTINCT capture_id, markdown, regexp_extract(markdown, '\A(?:---[ \t]*\r?\n(?:[^\n]*\n)*?---[ \t]*\r?(?:\n|\z)|(?:- \*\*[^\n]*(?:\n|\z))+)', 0) AS block FROM captures WHERE markdown IS NOT NULL
+), r AS (
+  SELECT 'captures' AS record_set, capture_id AS id, CASE WHEN block = '' THEN {_BARE.format(c='markdown')}
+    ELSE array_to_string(list_sort(list_transform(string_split(block, chr(10)), lambda x: {_BARE.format(c='x')})), '') || {_BARE.format(c='substring(markdown, length(block) + 1)')} END AS form FROM b
+  UNION SELECT 'clip_log', clip_id, {_BARE.format(c='url')} || '|' || {_BARE.format(c='title')} || '|' || {_BARE.format(c='preview_fingerprint')} FROM clip_log
+)
+SELECT record_set, min(id) AS keep_id, count(*) AS n_copies FROM r WHERE form <> '' GROUP BY record_set, form HAVING count(*) > 1
+"""

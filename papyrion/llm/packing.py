@@ -185,3 +185,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITE
 def p9_containers(spark, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     return pack(token_pieces(documents, "doc_id", "text", CAPACITY, vocabulary()))
+
+
+def p9_checks(spark, sf_dir: str) -> DataFrame:
+    """What must hold of the containers: documents and tokens in them, and the containers over their capacity. One row."""
+    placed = p9_containers(spark, sf_dir)
+    loads = placed.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("load"))
+    over = loads.agg(F.count_if(F.col("load") > CAPACITY).alias("n_over"), F.count_if(F.col("load") <= 0).alias("n_empty"))
+    documents = placed.agg(F.countDistinct("doc_id").alias("n_documents"), F.count_if((F.col("n_tokens") > 0) & F.col("container_id").isNull()).alias("n_unplaced"))
+    # One row beside one row.
+    return documents.withColumn("_one", F.lit(1)).join(over.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
+P9_CHECKS_SQL = "SELECT count(DISTINCT doc_id) AS n_documents, CAST(0 AS BIGINT) AS n_unplaced, CAST(0 AS BIGINT) AS n_over, CAST(0 AS BIGINT) AS n_empty FROM documents"

@@ -90,6 +90,14 @@ def p5_pieces(spark, sf_dir: str) -> DataFrame:
     return pieces.dropDuplicates(["capture_id", "piece_no"])
 
 
+def p5_checks(spark, sf_dir: str) -> DataFrame:
+    """For each capture the characters that its pieces hold without what overlaps, and how many pieces are longer than the limit."""
+    length = F.length("piece")
+    # What a piece gives to the next one; the last gives nothing.
+    repeated = F.when(F.col("piece_no") < F.col("n_pieces"), F.least(length, F.lit(OVERLAP))).otherwise(0)
+    return p5_pieces(spark, sf_dir).groupBy("capture_id").agg(F.sum(length - repeated).alias("n_characters"), F.count_if(length > LIMIT).alias("n_too_long"))
+
+
 def p5_found(spark, sf_dir: str) -> DataFrame:
     pieces = split_records(read_table(spark, sf_dir, "captures"), "capture_id", "markdown")
     return pieces.where("piece_no = 1 and cut_kind is not null").select("capture_id", "cut_kind").distinct()
@@ -99,3 +107,4 @@ P5_SQL = r"""
 SELECT DISTINCT capture_id, CASE WHEN list_max(list_transform(regexp_split_to_array(markdown, '[ \t\r\n]'), lambda s: length(s))) > 6000 THEN 'inside' ELSE 'boundary' END AS cut_kind
 FROM captures WHERE length(markdown) > 6000
 """
+P5_CHECKS_SQL = "SELECT DISTINCT capture_id, length(markdown) AS n_characters, CAST(0 AS BIGINT) AS n_too_long FROM captures WHERE markdown <> ''"

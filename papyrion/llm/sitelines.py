@@ -220,3 +220,8 @@ often AS (
 )
 SELECT capture_id, line_no FROM same JOIN often USING (site, line)
 """
+P7_CLEAN_SQL = f"""
+WITH found AS ({P7_SQL}), gone AS (SELECT capture_id, list(line_no) AS lines FROM found GROUP BY 1),
+doc AS (SELECT DISTINCT ON (capture_id) capture_id, markdown FROM captures WHERE markdown IS NOT NULL ORDER BY capture_id)
+SELECT capture_id, CASE WHEN lines IS NULL THEN markdown ELSE array_to_string(list_filter(string_split(markdown, chr(10)), lambda line, i: NOT list_contains(lines, i)), chr(10)) END AS markdown FROM doc LEFT JOIN gone USING (capture_id)
+"""

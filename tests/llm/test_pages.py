@@ -302,8 +302,27 @@ def test_labels_agree(spark, data):
     assert n.get((0, True), 0) <= 0.05 * max(1, n.get((0, False), 1))
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p3_found", "p6_found", "p7_clean", "p9_containers", "p10_rates"])
+@pytest.mark.parametrize("name", ["p1_classes", "p1_forms", "p3_found", "p3_bodies", "p6_found", "p10_rates"])
 def test_queries_run(spark, data, name):
     from papyrion.llm.queries import QUERIES
 
     assert QUERIES[name](spark, data).count() >= 0
+
+
+@pytest.mark.parametrize("name", ["p2_layouts", "p5_found", "p5_checks", "p7_found", "p7_clean", "p9_checks"])
+def test_queries_equal_sql(spark, data, name):
+    from collections import Counter
+    from pathlib import Path
+
+    from papyrion.llm.queries import QUERIES, SQL
+
+    con = pytest.importorskip("duckdb").connect()
+    con.execute("SET timezone = 'UTC'")
+    for p in Path(data).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    df = QUERIES[name](spark, data)
+    columns = sorted(df.columns)
+    found = con.execute(SQL[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == columns
+    assert Counter(tuple(r[c] for c in columns) for r in df.collect()) == Counter(tuple(r[names.index(c)] for c in columns) for r in found.fetchall())
