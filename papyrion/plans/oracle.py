@@ -261,3 +261,22 @@ SQL |= {
       d AS (SELECT job_id, '# Site export' || chr(10) || chr(10) || count(*) || CASE WHEN count(*) = 1 THEN ' page.' ELSE ' pages.' END || chr(10) || chr(10) || '## Contents' || chr(10) || chr(10) || coalesce(string_agg(toc, chr(10) ORDER BY n), '') || chr(10) || chr(10) || coalesce(string_agg(section, chr(10) ORDER BY n), '') AS t FROM l GROUP BY 1)
       SELECT job_id, trim(regexp_replace(regexp_replace(t, '\\n{{3,}}', chr(10) || chr(10), 'g'), '\\n+$', ''), ' ') || chr(10) AS content FROM d""",
 }
+_SPACES = r"[\s\x{0b}\x{a0}\x{feff}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _normal(c: str) -> str:
+    """Normalized Markdown."""
+    t = rf"replace(regexp_replace({c}, '\r\n?', chr(10), 'g'), chr(160), ' ')"
+    t = rf"regexp_replace(regexp_replace({t}, '[ \t]+\n', chr(10), 'g'), '[ \t]+$', '')"
+    return rf"regexp_replace(regexp_replace({t}, '\n{{3,}}', chr(10) || chr(10), 'g'), '^{_SPACES}+|{_SPACES}+$', '', 'g')"
+
+
+_LEAD = r"'^((?:[ \t]*(?:!\[[^\n]*|-{3,}|\*{3,}|_{3,}|(?:\* ){2,}\*)?[ \t]*\n)*)(#{1,6}[ \t]+[^\n]*)(?:\n|$)'"
+_ONE_SPACE = lambda c: rf"trim(regexp_replace(lower({c}), '{_SPACES}+', ' ', 'g'))"
+SQL |= {
+    "composed_documents": rf"""WITH front AS ({SQL["front_matter"]}), cap AS (SELECT DISTINCT ON (capture_id) * FROM captures ORDER BY capture_id, ingested_at),
+      n AS (SELECT capture_id, regexp_replace(regexp_replace(coalesce(title, ''), '^#+{_SPACES}*', ''), '^{_SPACES}+|{_SPACES}+$', '', 'g') AS heading, {_normal("coalesce(markdown, '')")} AS md FROM cap),
+      l AS (SELECT *, regexp_extract(md, {_LEAD}, 0) AS lead, regexp_extract(md, {_LEAD}, 1) AS ahead, regexp_replace(regexp_extract(md, {_LEAD}, 2), '^#{{1,6}}[ \t]+', '') AS own FROM n),
+      b AS (SELECT capture_id, heading, CASE WHEN lead <> '' AND heading <> '' AND {_ONE_SPACE('own')} = {_ONE_SPACE('heading')} THEN ahead || substring(md, length(lead) + 1) ELSE md END AS body FROM l)
+      SELECT capture_id, {_normal("concat_ws(chr(10) || chr(10), nullif(front_matter, ''), CASE WHEN heading <> '' THEN '# ' || heading END, nullif(body, ''))")} || chr(10) AS content FROM b JOIN front USING (capture_id)""",
+}
