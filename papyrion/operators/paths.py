@@ -79,7 +79,8 @@ def unique_paths(df: DataFrame, path: str, order: list[str], name: str = "unique
     looked at for the numbers they block.
     """
     key = F.when(F.col(path).isNotNull(), _key(scope, F.col(path)))
-    ranked = materialize(with_rank(df.withColumn("_key", key), "_key", order, "_n"))
+    # Paths and keys are made once: ranking samples its input, and reads it again.
+    ranked = with_rank(materialize(df.withColumn("_key", key)), "_key", order, "_n")
     met = _meetings(ranked.where("_key is not null"), path, order, scope)
     if met is None:
         named = ranked.withColumn("_number", F.col("_n") - 1)
