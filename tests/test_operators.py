@@ -116,6 +116,28 @@ def test_unique_paths(uncoalesced):
     assert got == brute_unique(values) and len(set(got)) == len(got)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_unique_paths_among_numbered_ones(uncoalesced, seed):
+    """Numbered paths block numbers, lose their own names, and pass both on to the paths numbered after them."""
+    random.seed(seed)
+    values = random.choices(["a.md", "a-1.md", "a-2.md", "a-3.md", "a-1-1.md", "a-1-2.md", "a-2-1.md", "a-1-1-1.md", "b.md", "a-5.md", "a-01.md", "c", "c-1", None], k=70)
+    df = uncoalesced.createDataFrame(list(enumerate(values)), "k long, p string")
+    got = {r["k"]: r["u"] for r in paths.unique_paths(df, "p", ["k"], "u").collect()}
+    named = [(k, v) for k, v in enumerate(values) if v is not None]
+    assert [got[k] for k, _ in named] == brute_unique([v for _, v in named]) and all(got[k] is None for k, v in enumerate(values) if v is None)
+    assert paths.unique_paths(df.where("false"), "p", ["k"], "u").count() == 0
+
+
+def test_crawl_of_many_seeds(spark):
+    """Seeds beyond the cap aren't captured, failed ones don't count, and the order is kept."""
+    seeds = spark.createDataFrame([(f"https://s.test/{k}", k) for k in range(40)], "url string, ord long")
+    site = spark.createDataFrame([(f"https://s.test/{k}", [], None) for k in range(40) if k % 3], "url string, links array<string>, error string")
+    got = crawl.crawl_site(seeds, site, crawl.CrawlOptions(max_pages=10), "https://s.test/").pages.collect()
+    ok = [k for k in range(40) if k % 3][:10]
+    assert {r["url"] for r in got if r["error"] is None} == {f"https://s.test/{k}" for k in ok}
+    assert {r["url"] for r in got if r["error"]} == {f"https://s.test/{k}" for k in range(0, ok[-1], 3)}
+
+
 def test_reconcile(spark):
     page = lambda n, title="t", ref=None: (n, title, ref or f"/p{n}", None, None, f"u{n}")
     schema = f"s string, ord int, page {PAGE}"
