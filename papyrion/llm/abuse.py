@@ -40,7 +40,7 @@ arsehole, dickhead, shithead, dumbass, dumbfuck, motherfucker, motherfuckers, co
 wanker, twat, retard, retards, retarded, whore, whores, slut, sluts, faggot, faggots, nigger, niggers, kike, spic, stupid bitch, you bitch, fucking bitch, fuck you,
 fuck off, screw you, piss off, go to hell, shut up you, shut your mouth, shut the fuck up, crawl back under, fucking dumb, fucking stupid, fucking ugly, you are scum,
 you are trash, you are garbage, you are vermin, you are worthless, you are disgusting, you are pathetic, you worthless, you pathetic, you disgusting, you filthy,
-you stupid, you brainless, you ugly, nobody wants you, nobody likes you, nobody would miss you, no one would miss you, no one wants you, better off without you, hope you lose your job,
+you stupid, you brainless, you ugly, nobody wants you, nobody likes you, nobody would miss you, no one would miss you, no one wants you, better off without you, only a loser would, only losers would, what a loser, total loser, absolute loser, bunch of losers, only a bastard would, what a bastard, bunch of bastards, hope you lose your job,
 du arschloch, arschloch, arschlocher, wichser, hurensohn, fotze, schlampe, missgeburt, schwuchtel, spast, verpiss dich, halt die fresse, halt dein maul, fick dich,
 leck mich am arsch, dummer idiot, stuck dreck, stuck scheisse, drecksau, dreckskerl, vollidiot, du idiot, dumme kuh, dummkopf, du hure, drecksschwein, abschaum,
 ta gueule, ferme la, sale ordure, espece d'imbecile, espece de, connard, connards, connasse, salope, salaud, encule, batard, va te faire, fils de pute, pauvre con,

@@ -30,7 +30,7 @@ _QUOTED = re.compile(r"[\"“„«»'‘’「]\s*$")
 _NOISE = re.compile(r"\(?data:[^)\s]*\)?|[!-~]{200,}")
 _DATA = re.compile(r"[!-~]{200,}|\(data:[^\n]*")
 # Words right before a placeholder that explain it, and right after it.
-EXPLAINED_BEFORE = re.compile(r"(?i)(?:\b(?:placeholders?|fields?|variables?|tokens?|syntax|notation|such as|for example|for instance|e\.g\.)[^.!?\w]*(?:\w+[^.!?\w]+)?|\b(?:write|writes|type|types|use|insert|called|named)[^.!?\w]+)$")
+EXPLAINED_BEFORE = re.compile(r"(?i)(?:\b(?:placeholders?|fields?|variables?|tokens?|syntax|notation|such as|for example|for instance|e\.g\.)[^.!?\w]*(?:\w+[^.!?\w]+)?|\b(?:write|writes|type|types|insert|called|named)[^.!?\w]+)$")
 EXPLAINED_AFTER = re.compile(r"(?i)^[^.!?]{0,24}\b(?:is filled|are filled|is replaced|are replaced|gets filled|gets replaced|stands for|is a placeholder|are placeholders|is the placeholder)\b")
 #: A page is a case in spite of quotes and explanations if so large a share of its words are placeholders.
 DENSITY = 0.25
@@ -110,7 +110,7 @@ def _kinds(folded: str) -> Iterator[bool | None]:
 
 def _holds_residue(folded: str, kind: str) -> bool:
     """Whether a line may be residue: a long one is so only up to its first sentence that is an article's."""
-    if kind is RESIDUE:
+    if kind is RESIDUE or kind is HEADING and L.residue_line(folded):
         return True
     return len(folded) >= LONG_LINE and next((k for k in _kinds(folded) if k is not None), False)
 

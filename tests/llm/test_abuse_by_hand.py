@@ -11,6 +11,7 @@ CASES = [
     "I'd love to smash your teeth in, you worm.",
     "Those people breed like roaches and ought to be put down.",
     "Honestly, you are such a loser.",
+    "Only a l o s e r would say so.",
     "police said he is a hero; you are a worthless piece of shit, kill yourself",
     "If I see you again I will break your jaw.",
     "They are all parasites and should be deported.",

@@ -141,6 +141,10 @@ def test_placeholders_by_sentence_and_density(text, kind):
     ("Page not found\n\n![x](data:image/png;base64," + "QUJD" * 2000 + ")", "residue"),
     ("Please enable JavaScript to view this page.\n\nhttps://else.test/" + "a1b2" * 300, "residue"),
     ("Page not found. " + "Please try again later. " * 30, "residue"),
+    ("Home | Products | Contact\n\n# 404\n\n(Someone)", "residue"),
+    ("# A guide to pumps\n\n# 404", "residue"),
+    ("# 404\n\nThis is the story of a bus line, told by those who drove it for years.", None),
+    ("Readers use {{title}} the library folder without a word.", "placeholder"),
     ("Hier steht ein Text. " * 20, "residue"),
     ("[Page not found](https://else.test/" + "a1b2" * 300 + ")", "residue"),
     ("Page not found\n\n![x](data:image/png;base64," + "QUJD" * 2000 + ") The article goes on beside the picture.", None),
