@@ -377,7 +377,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not keep or kind in OPEN:
                     at.append(row)
                     nos.append(no)
-                    sames.append(digest(_DIGITS.sub("0", folded)))
+                    # An announcement's numbers change from day to day; a whole sentence with other numbers is another one.
+                    sames.append(digest(folded if kind is SENTENCE else _DIGITS.sub("0", folded)))
                     pages.append(mark)
                     gones.append(not keep)
         rows = pa.array(at, pa.int64())
